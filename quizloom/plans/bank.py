@@ -104,11 +104,11 @@ def options_round_trip(spark, sf):
 @q(
     "append_new_questions",
     f"""SELECT id, exam_set, h AS question_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY id) AS r FROM
- (SELECT id, exam_set, {HASH} AS h FROM items WHERE exam_set > 1)) WHERE r = 1 AND h NOT IN (SELECT {HASH} FROM items WHERE exam_set = 1)""",
+ (SELECT id, exam_set, {HASH} AS h FROM items WHERE validation_status <> 'approved')) WHERE r = 1 AND h NOT IN (SELECT {HASH} FROM items WHERE validation_status = 'approved')""",
 )
 def append_new_questions(spark, sf):
     bank = items(spark, sf)
-    return B.new_rows(B.read_set(bank, 1), B.drop_set(bank, 1)).select("id", "exam_set", "question_hash")
+    return B.new_rows(bank.where("validation_status = 'approved'"), bank.where("validation_status <> 'approved'")).select("id", "exam_set", "question_hash")
 
 
 _LOG = """logged AS (SELECT id, question_uuid, exam_set, chapter, question AS question_text, correct_answer, difficulty,
