@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import reference_values as R
 from ..functions import text as X
+from ..schemas import blueprint as blueprint_rows
 from .setjoin import jaccard_pair_counts, overlap_pair_counts
 
 JACCARD_LIMIT = 0.55
@@ -182,21 +183,53 @@ def chapter_coverage(bank: DataFrame) -> DataFrame:
 
 
 def difficulty_balance(bank: DataFrame) -> DataFrame:
-    """Mean closeness of difficulty shares to their targets; an empty chapter is one zero."""
-    return chapter_coverage(bank).groupBy("exam_set").agg(
-        F.bround(F.sum("score_sum") / F.sum("score_n") * 100, 1).alias("difficulty_balance"),
-        F.sum(F.when(F.col("in_range"), 1).otherwise(0)).alias("chapters_in_range"),
+    """Mean closeness of difficulty shares to their targets; an empty chapter is one zero.
+
+    Only chapters with questions are looked at: each gives three scores, and the
+    blueprint chapters that are missing add one zero each to the divisor.
+    """
+    levels = ("easy", "medium", "hard")
+    limits = F.broadcast(blueprint_rows(bank.sparkSession))
+    per_key = (
+        chapter_counts(bank)
+        .groupBy("exam_set", F.col("resolved_key").alias("chapter_key"))
+        .agg(
+            F.sum("n").alias("actual"),
+            *[F.sum(F.when(F.col("difficulty") == d, F.col("n")).otherwise(0)).alias(f"n_{d}") for d in levels],
+        )
+        .join(limits, "chapter_key", "left")
+    )
+    known = F.col("min_q").isNotNull()
+    score = reduce(lambda x, y: x + y, [1 - F.abs(F.col(f"n_{d}") / F.col("actual") - F.col(d)) for d in levels])
+    in_range = known & F.col("actual").between(F.col("min_q"), F.col("max_q"))
+    present = F.sum(F.when(known, 1).otherwise(0))
+    return per_key.groupBy("exam_set").agg(
+        F.bround(
+            F.coalesce(F.sum(F.when(known, score)), F.lit(0.0)) / (present * 3 + (len(R.BLUEPRINT) - present)) * 100, 1
+        ).alias("difficulty_balance"),
+        F.sum(F.when(in_range, 1).otherwise(0)).alias("chapters_in_range"),
     )
 
 
 def set_metrics(bank: DataFrame) -> DataFrame:
     """One row of metrics for every set."""
-    return (
+    group = ["exam_set"]
+    near = jaccard_pair_counts(bank, group, "id", X.word_set(F.col("question")), JACCARD_LIMIT)
+    tags = overlap_pair_counts(bank, group, F.col("tags"), TAG_OVERLAP_LIMIT)
+    total = _pair_total(F.col("total_questions"))
+    joined = (
         simple_metrics(bank)
-        .join(uniqueness(bank).drop("near_dup_pairs"), "exam_set")
-        .join(concept_overlap(bank).drop("overlap_pairs"), "exam_set")
-        .join(difficulty_balance(bank), "exam_set")
+        .join(difficulty_balance(bank), group)
+        .join(near.withColumnRenamed("pairs", "_near"), group, "left")
+        .join(tags.withColumnRenamed("pairs", "_tags"), group, "left")
     )
+    hit = lambda c: F.coalesce(c, F.lit(0))
+    return joined.withColumns(
+        {
+            "semantic_uniqueness": F.when(total > 0, F.bround((1 - hit("_near") / total) * 100, 1)).otherwise(100.0),
+            "concept_overlap": F.when(total > 0, percent(hit("_tags"), total)).otherwise(0.0),
+        }
+    ).drop("_near", "_tags")
 
 
 def metric_status(metrics: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+_BEFORE = "_before"
 
 
 def _combine(kind: str, earlier: Column, here: Column) -> Column:
@@ -27,31 +28,35 @@ def running(
     values: dict[str, tuple[str, Column]],
     width: int = 4096,
 ) -> DataFrame:
-    """Add inclusive running ``sum`` / ``min`` / ``max`` columns along ``order``.
+    """Add running ``sum`` / ``min`` / ``max`` columns along ``order``.
 
+    A kind ending in ``_before`` leaves the row itself out (null where nothing precedes).
     ``order`` is a non-null whole number, unique inside a group.
     """
     bucket = "_bucket"
     at = F.floor(F.col(order) / width)
+    fn = {name: _AGG[kind.removesuffix(_BEFORE)] for name, (kind, _) in values.items()}
     totals = df.groupBy(*keys, at.alias(bucket)).agg(
-        *[_AGG[kind](expr).alias(f"_t_{name}") for name, (kind, expr) in values.items()]
+        *[fn[name](expr).alias(f"_t_{name}") for name, (_, expr) in values.items()]
     )
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(bucket).alias("_k_bucket"),
-        *[_AGG[kind](f"_t_{name}").over(before).alias(f"_b_{name}") for name, (kind, _) in values.items()],
+        *[fn[name](f"_t_{name}").over(before).alias(f"_b_{name}") for name in values],
     )
     match = F.col(bucket) == F.col("_k_bucket")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = (
-        Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    ordered = Window.partitionBy(*keys, bucket).orderBy(order)
     joined = df.withColumn(bucket, at).join(carried, match)
     out = joined.withColumns(
         {
-            name: _combine(kind, F.col(f"_b_{name}"), _AGG[kind](expr).over(inside))
+            name: _combine(
+                kind.removesuffix(_BEFORE),
+                F.col(f"_b_{name}"),
+                fn[name](expr).over(ordered.rowsBetween(Window.unboundedPreceding, -1 if kind.endswith(_BEFORE) else 0)),
+            )
             for name, (kind, expr) in values.items()
         }
     )

@@ -15,14 +15,22 @@ from pyspark.sql import functions as F
 _EPS = 1e-9
 
 
+def _hashes(elements: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(elements, lambda x: F.xxhash64(x))))
+
+
 def weighted_sets(df: DataFrame, group: list[str], row_id: str, elements: Column) -> DataFrame:
-    """One row per distinct non-empty set of a group: ``rep``, ``copies``, ``elements``."""
-    sets = df.select(*group, F.col(row_id).alias("rep"), elements.alias("elements")).where(
-        F.size("elements") > 0
+    """One row per distinct non-empty set of a group: ``rep``, ``copies``, ``hs`` (element hashes).
+
+    The text is read and split once; from here on only hashes travel.
+    """
+    rows = df.select(*group, F.col(row_id).alias("rep"), _hashes(elements).alias("hs")).where(F.size("hs") > 0)
+    signature = (F.xxhash64("hs").alias("sig"), F.hash("hs").alias("sig2"), F.size("hs").alias("n"))
+    return (
+        rows.groupBy(*group, *signature)
+        .agg(F.min("rep").alias("rep"), F.count("*").alias("copies"), F.any_value("hs").alias("hs"))
+        .drop("sig", "sig2")
     )
-    keyed = sets.withColumn("sig", F.sha2(F.array_join(F.sort_array("elements"), "\u001f"), 256))
-    reps = keyed.groupBy(*group, "sig").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
-    return reps.drop("sig").join(sets, [*group, "rep"])
 
 
 def jaccard_pairs(df: DataFrame, group: list[str], row_id: str, elements: Column, above: float) -> DataFrame:
@@ -31,21 +39,24 @@ def jaccard_pairs(df: DataFrame, group: list[str], row_id: str, elements: Column
     Columns: group, ``left_rep``, ``right_rep``, ``left_copies``, ``right_copies``,
     ``shared``, ``joined`` (sizes of intersection and union).
     """
-    sets = weighted_sets(df, group, row_id, elements)
-    tokens = sets.select(
-        *group, "rep", "copies", F.size("elements").alias("n"),
-        F.explode(F.transform("elements", lambda x: F.xxhash64(x))).alias("h"),
-    )
-    usage = tokens.groupBy(*group, "h").agg(F.count("*").alias("users"))
+    return _pairs_of(weighted_sets(df, group, row_id, elements), group, above)
+
+
+def _pairs_of(sets: DataFrame, group: list[str], above: float) -> DataFrame:
+    tokens = sets.select(*group, "rep", "copies", "n", F.explode("hs").alias("h"))
+    usage = tokens.groupBy(*group, "h").agg(F.count("*").alias("users")).where("users > 1")
+    # Tokens of a single set cannot make a pair: they only take the first prefix places.
     ranked = (
         tokens.join(usage, [*group, "h"])
         .groupBy(*group, "rep", "copies", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("users", "h"))).alias("order"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("users", "h"))), lambda x: x["h"]).alias("hs"))
+        .withColumn("alone", F.col("n") - F.size("hs"))
     )
     prefix_len = F.col("n") - F.ceil(F.col("n") * above - _EPS) + 1
+    open_places = F.greatest(prefix_len - F.col("alone"), F.lit(0)).cast("int")
     index = ranked.select(
-        *group, "rep", "n", F.posexplode(F.slice("order", 1, prefix_len.cast("int"))).alias("at", "t")
-    ).where("t.users > 1").select(*group, "rep", "n", "at", F.col("t.h").alias("h"))
+        *group, "rep", "n", "alone", F.posexplode(F.slice("hs", 1, open_places)).alias("at", "h")
+    ).select(*group, "rep", "n", (F.col("alone") + F.col("at")).alias("at"), "h")
     a, b = index.alias("a"), index.alias("b")
     same = F.col("a.h") == F.col("b.h")
     for g in group:
@@ -66,43 +77,25 @@ def jaccard_pairs(df: DataFrame, group: list[str], row_id: str, elements: Column
         )
         .distinct()
     )
-    side = ranked.select(*group, "rep", "copies", F.transform("order", lambda x: x["h"]).alias("hs"))
-    left = side.withColumnsRenamed({"rep": "left_rep", "copies": "left_copies", "hs": "left_hs"})
-    right = side.withColumnsRenamed({"rep": "right_rep", "copies": "right_copies", "hs": "right_hs"})
+    side = ranked.select(*group, "rep", "copies", "n", "hs")
+    left = side.withColumnsRenamed({"rep": "left_rep", "copies": "left_copies", "n": "left_n", "hs": "left_hs"})
+    right = side.withColumnsRenamed({"rep": "right_rep", "copies": "right_copies", "n": "right_n", "hs": "right_hs"})
     met = candidates.join(left, [*group, "left_rep"]).join(right, [*group, "right_rep"])
     shared = F.size(F.array_intersect("left_hs", "right_hs"))
     return (
         met.withColumn("shared", shared)
-        .withColumn("joined", F.size("left_hs") + F.size("right_hs") - F.col("shared"))
+        .withColumn("joined", F.col("left_n") + F.col("right_n") - F.col("shared"))
         .where(F.col("shared") / F.col("joined") > above)
         .select(*group, "left_rep", "right_rep", "left_copies", "right_copies", "shared", "joined")
     )
 
 
-def _within_copies(df: DataFrame, group: list[str], elements: Column) -> DataFrame:
-    """Pairs of equal non-empty sets per group."""
-    sig = F.sha2(F.array_join(F.sort_array(elements), "\u001f"), 256)
-    return (
-        df.where(F.size(elements) > 0)
-        .groupBy(*group, sig.alias("sig"))
-        .agg(F.count("*").alias("m"))
-        .groupBy(*group)
-        .agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).cast("bigint").alias("pairs"))
-    )
-
-
 def jaccard_pair_counts(df: DataFrame, group: list[str], row_id: str, elements: Column, above: float) -> DataFrame:
     """Number of row pairs per group with Jaccard above the limit, copies included."""
-    across = (
-        jaccard_pairs(df, group, row_id, elements, above)
-        .groupBy(*group)
-        .agg(F.sum(F.col("left_copies") * F.col("right_copies")).alias("pairs"))
-    )
-    return (
-        across.unionByName(_within_copies(df, group, elements))
-        .groupBy(*group)
-        .agg(F.sum("pairs").alias("pairs"))
-    )
+    sets = weighted_sets(df, group, row_id, elements)
+    across = _pairs_of(sets, group, above).select(*group, (F.col("left_copies") * F.col("right_copies")).alias("pairs"))
+    own = sets.select(*group, (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("pairs"))
+    return across.unionByName(own).groupBy(*group).agg(F.sum("pairs").alias("pairs"))
 
 
 def overlap_pair_counts(df: DataFrame, group: list[str], elements: Column, at_least: float) -> DataFrame:
