@@ -209,3 +209,9 @@ def distractor_reason(scores: DataFrame, low: float = 0.30, high: float = 0.97)
     return scores.groupBy("id").agg(F.min(bad).alias("m")).select(
         "id", F.when(F.col("m").isNotNull(), F.concat(F.lit("option_"), (F.col("m.place") + 1).cast("string"), F.lit("_"), F.col("m.what"))).alias("reason")
     )
+
+
+def last_per_batch(batch: DataFrame) -> DataFrame:
+    """Last version of every (namespace, id) in one batch, by ``version``."""
+    last = batch.groupBy("namespace", "id").agg(F.max("version").alias("version"))
+    return batch.join(last, ["namespace", "id", "version"], "left_semi")
