@@ -207,7 +207,7 @@ def drop_set(bank: DataFrame, exam_set: int) -> DataFrame:
     return bank.where(F.col("exam_set") != exam_set)
 
 
-def set_documents(bank: DataFrame, course: str = "CCC", part_rows: int = PART_ROWS) -> DataFrame:
+def set_documents(bank: DataFrame, course: str = "course", part_rows: int = PART_ROWS) -> DataFrame:
     """One nested document per set, questions in order.
 
     A set of the normal size is one document. A set beyond ``part_rows`` is written
@@ -233,12 +233,12 @@ def answer_key_documents(bank: DataFrame, part_rows: int = PART_ROWS) -> DataFra
     )
 
 
-def combined_header(bank: DataFrame) -> DataFrame:
+def combined_header(bank: DataFrame, course: str = "course") -> DataFrame:
     """Head of the combined export; its sets are the documents of ``set_documents``."""
     sizes = bank.groupBy("exam_set").agg(F.count("*").alias("n"))
     return sizes.agg(
         F.count("*").alias("total_sets"), F.min_by("n", "exam_set").alias("questions_per_set")
-    ).withColumn("course", F.lit("CCC"))
+    ).withColumn("course", F.lit(course))
 
 
 def last_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -251,4 +251,4 @@ def shuffled(bank: DataFrame) -> DataFrame:
     """Reproducible order per set: by a hash of uuid and set, numbered from 1."""
     seeded = bank.withColumn("shuffle_key", X.stable_number("question_uuid", "exam_set"))
     # The 60-bit key is cut into ranges; its top digits make evenly filled buckets.
-    return row_numbers(seeded, ["exam_set"], "shuffle_key", "shuffled_no", width=2**52)
+    return row_numbers(seeded, ["exam_set"], "shuffle_key", "shuffled_no", width=2**50)

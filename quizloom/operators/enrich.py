@@ -46,14 +46,14 @@ def topic_list(topics: Column) -> Column:
     return F.array_join(F.transform(topics, lambda t: F.concat(F.lit("• "), t["topic"], F.lit(": "), t["notes"])), "\n")
 
 
-def slug_metadata(chunks: DataFrame) -> DataFrame:
+def slug_metadata(chunks: DataFrame, book_id: str = "book_v1") -> DataFrame:
     """Stored metadata of a tagged chunk with its defaults; text cut to 2000 characters."""
     c = F.col
     strings = "array<string>"
     return chunks.select(
         "chunk_id", "chapter_id", "chapter_name", "topic_slug", "chunk_type",
         F.concat_ws(":", "chapter_id", "topic_slug").alias("concept_id"),
-        F.coalesce(c("book_id"), F.lit("ccc_arihant_v1")).alias("book_id"),
+        F.coalesce(c("book_id"), F.lit(book_id)).alias("book_id"),
         F.coalesce(c("bloom_levels"), F.array(F.lit("remember"))).alias("bloom_levels"),
         F.coalesce(c("difficulty"), F.array(F.lit("easy"))).alias("difficulty"),
         F.coalesce(c("keywords"), F.array().cast(strings)).alias("keywords"),

@@ -31,7 +31,8 @@ def running(
     """Add running ``sum`` / ``min`` / ``max`` columns along ``order``.
 
     A kind ending in ``_before`` leaves the row itself out (null where nothing precedes).
-    ``order`` is a non-null whole number, unique inside a group.
+    ``order`` is a non-null whole number, unique inside a group. ``width`` suits dense
+    numbers; for sparse ones take ``bucket_width``, or every row is its own bucket.
     """
     bucket = "_bucket"
     at = F.floor(F.col(order) / width)
@@ -63,6 +64,12 @@ def running(
     return out.select(*df.columns, *values.keys())
 
 
+def bucket_width(df: DataFrame, order: str, rows: int = 4096) -> int:
+    """Width that puts about ``rows`` rows of the whole table into one bucket."""
+    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    return max(1, (hi - lo + 1) * rows // n) if n else rows
+
+
 def row_numbers(df: DataFrame, keys: list[str], order: str, name: str = "row_no", width: int = 4096) -> DataFrame:
     """1-based number of every row in its group."""
     return running(df, keys, order, {name: ("sum", F.lit(1))}, width)

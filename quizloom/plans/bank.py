@@ -158,7 +158,7 @@ def registry_without_set(spark, sf):
 
 @q(
     "set_documents",
-    "SELECT exam_set, 0 AS part, 'CCC' AS course, count(*) AS total_questions, max(created_epoch) AS generated_epoch, md5(string_agg(correct_answer || '#' || difficulty, '|' ORDER BY id)) AS digest FROM items GROUP BY 1",
+    "SELECT exam_set, 0 AS part, 'course' AS course, count(*) AS total_questions, max(created_epoch) AS generated_epoch, md5(string_agg(correct_answer || '#' || difficulty, '|' ORDER BY id)) AS digest FROM items GROUP BY 1",
 )
 def set_documents(spark, sf):
     docs = B.set_documents(items(spark, sf).select("exam_set", "id", "question", "correct_answer", "difficulty", "created_epoch"))
@@ -175,7 +175,7 @@ def answer_key_documents(spark, sf):
     return B.answer_key_documents(items(spark, sf)).select("exam_set", "part", F.md5(F.array_join(inner, "|")).alias("digest"))
 
 
-@q("combined_header", "SELECT count(DISTINCT exam_set) AS total_sets, count_if(exam_set = 1) AS questions_per_set, 'CCC' AS course FROM items")
+@q("combined_header", "SELECT count(DISTINCT exam_set) AS total_sets, count_if(exam_set = 1) AS questions_per_set, 'course' AS course FROM items")
 def combined_header(spark, sf):
     return B.combined_header(items(spark, sf))
 

@@ -23,7 +23,7 @@ def chapter_files(spark, sf):
     d = table(spark, sf, "documents")
     topics = F.transform(F.split("text", "\n"), lambda x: F.struct(F.col("source").alias("topic"), x.alias("notes")))
     path = scratch_path(spark, "chapters")
-    IO.write_json_lines(d.select(F.lit("CCC").alias("course"), F.col("doc_id").cast("string").alias("chapter"), F.col("lang").alias("summary"), topics.alias("topics")), path)
+    IO.write_json_lines(d.select(F.lit("course").alias("course"), F.col("doc_id").cast("string").alias("chapter"), F.col("lang").alias("summary"), topics.alias("topics")), path)
     docs = spark.read.schema(S.CHAPTER_CONTENT).json(path)
     return docs.select(F.col("chapter").cast("bigint").alias("doc_id"), F.posexplode("topics").alias("place", "t")).select(
         "doc_id", "place", F.md5("t.notes").alias("notes")
@@ -50,7 +50,7 @@ def json_lines_with_bad_rows(spark, sf):
     )
 
 
-@query("raw_chunk_source", "SELECT 'ccc-' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS id, lang AS chapter, md5(text) AS digest FROM documents")
+@query("raw_chunk_source", "SELECT 'chunk-' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS id, lang AS chapter, md5(text) AS digest FROM documents")
 def raw_chunk_source(spark, sf):
     path = scratch_path(spark, "raw")
     IO.write_json_lines(_raw_chunks(spark, sf), path)

@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from .. import reference_values as R
 
 
+_TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A text table in fewer pieces than there are cores is spread by its
+    key once, because what follows is CPU work on text; a large one stays as it is read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = _TEXT_KEYS.get(name)
+    cores = spark.sparkContext.defaultParallelism
+    if key and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, key)
+    return df
 
 
 DISPLAY = [

@@ -223,7 +223,7 @@ def _raw_chunks(spark, sf):
     d = table(spark, sf, "documents")
     n = F.lit(None).cast("string")
     return d.select(
-        F.concat(F.lit("ccc-"), X.zero_padded(F.col("doc_id"), 4)).alias("id"), "text", n.alias("book"),
+        F.concat(F.lit("chunk-"), X.zero_padded(F.col("doc_id"), 4)).alias("id"), "text", n.alias("book"),
         F.col("lang").alias("chapter"), F.when(F.col("doc_id") % 5 == 0, "mcq").otherwise("content").alias("content_type"),
         F.col("source").alias("section"), n.alias("subsection"), n.alias("question_no"), n.alias("question_type"), n.alias("term"),
     )
@@ -247,12 +247,12 @@ def fixed_windows(spark, sf):
     )
 
 
-ATOM_SQL = f"""atoms AS (SELECT 'ccc-' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS source_id, lang AS chapter, source AS section, {strip_sql('text')} AS text FROM documents WHERE doc_id % 5 = 0 OR length({strip_sql('text')}) <= 800)"""
+ATOM_SQL = f"""atoms AS (SELECT 'chunk-' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS source_id, lang AS chapter, source AS section, {strip_sql('text')} AS text FROM documents WHERE doc_id % 5 = 0 OR length({strip_sql('text')}) <= 800)"""
 
 
 @query(
     "chunk_metadata",
-    with_(ATOM_SQL, body="SELECT 'ccc-' || substring(sha1(source_id || '|' || chapter || '|0|' || substring(text, 1, 200)), 1, 20) AS id, 'CCC Arihant' AS book, chapter, section, length(text) AS char_count, substring(text, 1, 512) AS text FROM atoms WHERE text <> ''"),
+    with_(ATOM_SQL, body="SELECT 'chunk-' || substring(sha1(source_id || '|' || chapter || '|0|' || substring(text, 1, 200)), 1, 20) AS id, 'book' AS book, chapter, section, length(text) AS char_count, substring(text, 1, 512) AS text FROM atoms WHERE text <> ''"),
 )
 def chunk_metadata(spark, sf):
     whole = S.expand_chunks(_raw_chunks(spark, sf), "chunks.jsonl").where(
