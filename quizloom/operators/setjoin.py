@@ -24,7 +24,10 @@ def weighted_sets(df: DataFrame, group: list[str], row_id: str, elements: Column
 
     The text is read and split once; from here on only hashes travel.
     """
-    rows = df.select(*group, F.col(row_id).alias("rep"), _hashes(elements).alias("hs")).where(F.size("hs") > 0)
+    # A one-element explode keeps the optimizer from repeating the expression in the filter
+    # and in each signature: the text is split once per row.
+    once = F.explode(F.array(_hashes(elements)))
+    rows = df.select(*group, F.col(row_id).alias("rep"), once.alias("hs")).where(F.size("hs") > 0)
     signature = (F.xxhash64("hs").alias("sig"), F.hash("hs").alias("sig2"), F.size("hs").alias("n"))
     return (
         rows.groupBy(*group, *signature)
