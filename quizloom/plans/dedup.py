@@ -53,13 +53,15 @@ def fuzzy_duplicates_in_set(spark, sf):
     return D.fuzzy_first_match(items(spark, sf).select("id", "exam_set", "question"), ["exam_set"])
 
 
+@query("fuzzy_duplicates_across_sets")
+def fuzzy_duplicates_across_sets(spark, sf):
+    return D.fuzzy_first_match(items(spark, sf).select("id", "exam_set", "question"), [])
+
+
 @query("fuzzy_against_registry")
 def fuzzy_against_registry(spark, sf):
-    turns = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question")
-    )
-    known = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
-    return D.fuzzy_against(turns, known)
+    bank = items(spark, sf).select("id", "question", "validation_status")
+    return D.fuzzy_against(bank.where("validation_status <> 'approved'"), bank.where("validation_status = 'approved'"))
 
 
 @query(
@@ -146,12 +148,12 @@ leak AS (SELECT j.exam_set, j.id, min(i.anchor) AS anchor FROM facts2 j JOIN anc
 
 
 def leak_bank(spark, sf):
-    bank = items(spark, sf)
     own = X.anchors(F.concat_ws(" ", F.col("question"), F.array_join("options", " ")))
+    bank = items(spark, sf).select("*", F.explode(F.array(own)).alias("own"))
     return bank.withColumn(
         "correct_answer",
-        F.when((F.col("id") % 3 == 0) & (F.size(own) > 0), F.concat(F.lit("about "), F.array_min(own))).otherwise(F.col("correct_answer")),
-    )
+        F.when((F.col("id") % 3 == 0) & (F.size("own") > 0), F.concat(F.lit("about "), F.array_min("own"))).otherwise(F.col("correct_answer")),
+    ).drop("own")
 
 
 @query("answer_leaks", with_(ITEMS_SQL, LEAK_SQL, body="SELECT * FROM leak"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import reference_values as R
 from ..functions import text as X
+from ..operators import quality as QP
 from ..operators import rules as Q
 from .bank import HASH
 from .catalog import query, with_
@@ -115,15 +116,12 @@ def unseen_questions(spark, sf):
     with_(ITEMS_SQL, DUP_SQL, body=f"SELECT i.id, coalesce({STRUCTURE_SQL}, 'formatting:' || {FORMAT_SQL}, 'duplicate:' || d.duplicate) AS reason FROM items i JOIN dup d ON d.id = i.id"),
 )
 def rule_engine(spark, sf):
-    bank = items(spark, sf)
-    return bank.join(Q.duplicate_kinds(bank).drop("exam_set"), "id").select(
-        "id",
-        Q.first_reason(
-            Q.structure_reason(),
-            F.concat(F.lit("formatting:"), Q.formatting_reason()),
-            F.concat(F.lit("duplicate:"), "duplicate"),
-        ).alias("reason"),
-    )
+    return QP.rule_engine(items(spark, sf), fuzzy=False)
+
+
+@query("rule_engine_with_fuzzy_tier")
+def rule_engine_with_fuzzy_tier(spark, sf):
+    return QP.rule_engine(items(spark, sf))
 
 
 # Match stems in four layouts, made of every question's options.
