@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut_lineage
+from .ordered import first_n
 
 
 def _grams(s: Column, n: int) -> Column:
@@ -53,6 +55,8 @@ def answer_leaks(bank: DataFrame, least_answer: int = 2) -> DataFrame:
             }
         )
     )
+    # Four joins read these two small tables: the texts must not be searched four times.
+    facts, answers = cut_lineage(facts), cut_lineage(answers)
     keep = ["exam_set", "correct_answer", "anchor", "s1", "s2"]
     hits = (
         _contained(facts, answers, "au", "cu").select(keep)
@@ -60,18 +64,18 @@ def answer_leaks(bank: DataFrame, least_answer: int = 2) -> DataFrame:
         .unionByName(_contained(facts, answers, "al", "cl").select(keep))
         .unionByName(_contained(answers, facts, "cl", "al").select(keep))
     )
-    # Best two (anchor, source) of every answer with different sources.
-    per_source = hits.select(
-        "exam_set", "correct_answer", "anchor", F.explode(F.array_distinct(F.array("s1", "s2"))).alias("src")
+    # Best two (anchor, source) of every answer, each source with its smallest fact.
+    key = ["exam_set", "correct_answer"]
+    per_source = (
+        hits.select(*key, "anchor", F.explode(F.array_distinct(F.array("s1", "s2"))).alias("src"))
+        .groupBy(*key, "src")
+        .agg(F.min("anchor").alias("anchor"))
     )
-    first = per_source.groupBy("exam_set", "correct_answer").agg(F.min(F.struct("anchor", "src")).alias("m1"))
-    second = (
-        per_source.join(first, ["exam_set", "correct_answer"])
-        .where(F.col("src") != F.col("m1.src"))
-        .groupBy("exam_set", "correct_answer")
-        .agg(F.min(F.struct("anchor", "src")).alias("m2"))
+    two = first_n(per_source, key, [F.col("anchor"), F.col("src")], 2)
+    pair = F.struct("anchor", "src")
+    best = two.groupBy(*key).agg(
+        F.max(F.when(F.col("rank_no") == 1, pair)).alias("m1"), F.max(F.when(F.col("rank_no") == 2, pair)).alias("m2")
     )
-    best = first.join(second, ["exam_set", "correct_answer"], "left")
     pick = F.when(F.col("m1.src") != F.col("id"), F.col("m1")).otherwise(F.col("m2"))
     return (
         bank.select("exam_set", "id", "correct_answer")
