@@ -26,12 +26,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def kept_in_worker(key: str, make):
-    """A value that lives as long as the Python worker, so that the next task finds it filled."""
+def kept_in_worker(key: str, make, version: str = ""):
+    """A value that lives as long as the Python worker, so that the next task finds it filled;
+    another version takes its place."""
     store = sys.__dict__.setdefault("_kept_in_worker", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if key not in store or store[key][0] != version:
+        store[key] = (version, make())
+    return store[key][1]
 
 
 class Memo(dict):

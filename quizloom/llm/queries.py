@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import byte_bpe, chat, fingerprint, html_text, language_id, licences, ngram_join, packing, quality, topk
 from .common import read
 
 QUERIES = {}
@@ -44,3 +44,99 @@ FROM sets s LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY
 @query("op1_ngram_jaccard_join", _JOIN_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op3_document_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op6_exact_top_k", _TOPK_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op8_harmonic_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_CHAT_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(nullif(trim(role, ' '), ''), 'unknown') AS role, coalesce(text, '') AS text,
+    coalesce(CAST(floor(turn / 256) AS BIGINT), -1) AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+x AS (
+  SELECT t.*, p.speaker, coalesce(t.role = p.speaker, false) AS own, t.text || '<|im_end|>' AS body,
+    '<|im_start|>' || CASE WHEN t.role = p.speaker THEN 'assistant' WHEN t.role <> 'system' THEN 'user name=' || t.role ELSE t.role END || chr(10) AS head
+  FROM t LEFT JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (
+  SELECT *, row_number() OVER w AS i, sum(length(head) + length(body) + 1) OVER (w ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS starts
+  FROM x WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY i) AS text,
+  string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY i) AS mask,
+  coalesce(string_agg(CAST(starts AS BIGINT) || ':' || CAST(starts + length(body) AS BIGINT), ' ' ORDER BY i) FILTER (WHERE own), '') AS spans,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS trained_chars
+FROM y GROUP BY conv_id, speaker, part
+"""
+
+
+@query("op9_perspective_rotation", _CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(read(spark, sf_dir, "conversations"))
+
+
+def _licence_sql() -> str:
+    rows = ", ".join("({}, {}, {})".format(*["'" + v.replace("'", "''") + "'" for v in r]) for r in licences.KNOWN)
+    return f"""
+WITH k AS (SELECT kind, sha256({licences.canonical_sql("text")}) AS digest, min(licence) AS licence
+  FROM (VALUES {rows}) v(licence, kind, text) GROUP BY ALL),
+d AS (SELECT doc_id, sha256({licences.canonical_sql("text")}) AS digest, text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text ILIKE '%licen%'),
+n AS (SELECT l.doc_id, string_agg(DISTINCT k.licence, ' ' ORDER BY k.licence) AS notices
+  FROM l JOIN k ON k.kind = 'notice' AND k.digest = sha256({licences.canonical_sql("line")}) WHERE line ILIKE '%licen%' GROUP BY l.doc_id)
+SELECT d.doc_id, d.digest, k.licence, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN k ON k.kind = 'text' AND k.digest = d.digest LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op10_licence_scan", _licence_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
