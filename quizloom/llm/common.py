@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -53,29 +53,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: columns ``node``, ``comp`` (its smallest
     node), for nodes with an edge to another one. Large-star and small-star rounds: a round is
     two grouped minima, combined before the shuffle, and joins that Spark can split at a hub."""
-    now = saved(
-        edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct(), "edges"
-    )
-    state = None
-    while True:
+
+    def lowest(df: DataFrame) -> DataFrame:
+        return df.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("k"), "low")
+
+    start = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct()
+    now, state = _counted(start)
+    while state[0]:
         both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        low = both.groupBy("v").agg(F.min("m").alias("low")).select(
-            F.col("v").alias("k"), F.least("v", "low").alias("low")
-        )
+        low = lowest(both).withColumn("low", F.least("k", "low"))
         large = both.where("m > v").join(low, F.col("v") == F.col("k")).select(F.col("m").alias("v"), F.col("low").alias("m"))
-        large = saved(large.where("v <> m").distinct(), "edges")
-        least = large.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("k"), "low")
-        small = large.join(least, F.col("v") == F.col("k"))
-        now = saved(
-            small.select(F.col("m").alias("v"), F.col("low").alias("m"))
-            .where("v <> m")
-            .unionByName(least.select(F.col("k").alias("v"), F.col("low").alias("m")))
-            .distinct(),
-            "edges",
-        )
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(v, m))"), F.expr("count(distinct m)")).first()
-        if seen == state or seen[0] == 0:
+        large = saved(large.where("v <> m"), "edges")
+        low = lowest(large)
+        small = large.join(low, F.col("v") == F.col("k")).select(F.col("m").alias("v"), F.col("low").alias("m"))
+        small = small.where("v <> m").unionByName(low.select(F.col("k").alias("v"), F.col("low").alias("m")))
+        before = state
+        now, state = _counted(small.distinct())
+        if state == before:
             break
-        state = seen
     roots = now.select(F.col("m").alias("node"), F.col("m").alias("comp")).distinct()
     return now.select(F.col("v").alias("node"), F.col("m").alias("comp")).unionByName(roots)
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The saved edges with their number and checksum, taken while they are written."""
+    seen = Observation()
+    out = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(v, m))").alias("sum")), "edges")
+    return out, (seen.get["n"], seen.get["sum"])

@@ -386,15 +386,15 @@ def _trees(words: int, percent: int):
 def _merges(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components, found by the trees of ``members`` (grp, doc_id, comp, side)."""
     spark = docs.sparkSession
-    if members.limit(SENT_MEMBERS + 1).count() <= SENT_MEMBERS:
+    if members.count() <= SENT_MEMBERS:
         members = F.broadcast(members)
     rows = docs.join(members, "doc_id").select("grp", "doc_id", "comp", "side", "text")
     rows = rows.repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp")
     return saved(rows.mapInArrow(_trees(words, percent), "a long, b long"), "merges")
 
 
-def _relabel(members: DataFrame, merges: DataFrame) -> DataFrame:
-    found = components(merges).select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
+    found = labels.select(F.col("a").alias("comp"), F.col("b").alias("_to"))
     return members.join(found, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
 
 
@@ -430,19 +430,17 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     )
     weights = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("size"))
     parts = _parts(weights.where("docs > 1"))
-    placed = saved(
+    placed = (
         members.join(parts, "family")
         .withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
-        .withColumn("comp", F.col("doc_id")),
-        "placed",
+        .withColumn("comp", F.col("doc_id"))
     )
-    group = lambda *cols: F.xxhash64("family", *cols).alias("grp")
-    one = placed.select(group("part"), "doc_id", "comp", F.lit(0).alias("side"))
-    merges = _merges(docs, one, words, percent)
-    big = placed.where("parts > 1")
-    if big.head(1):
-        merges = _across_parts(docs, big, merges, words, percent)
-    comps = components(merges).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
+    one = placed.select(F.xxhash64("family", "part").alias("grp"), "doc_id", "comp", F.lit(0).alias("side"))
+    # A tree starts from single documents, so what it returns are their labels.
+    labels = _merges(docs, saved(one, "placed"), words, percent)
+    if parts.where("parts > 1").head(1):
+        labels = _across_parts(docs, saved(placed.where("parts > 1"), "placed"), labels, words, percent)
+    comps = labels.select(F.col("a").alias("rep"), F.col("b").alias("component"))
     classes = classes.join(comps, "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )
@@ -455,17 +453,20 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     )
 
 
-def _across_parts(docs: DataFrame, big: DataFrame, merges: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between the parts of large families, added to ``merges``."""
-    found = saved(_relabel(big, merges), "placed")
+def _across_parts(docs: DataFrame, big: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+    """Labels with the links between the parts of large families."""
+    found = saved(_relabel(big, labels), "placed")
     # A spread of members from all parts connects the large components with each other.
     some = found.where((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)) == 0) | (F.col("comp") == F.col("doc_id")))
     few = _parts(some.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("size"))).withColumnRenamed("parts", "few")
     some = some.join(few, "family").select(
         F.xxhash64("family", F.lit(-1), F.pmod(F.xxhash64("doc_id"), "few")).alias("grp"), "doc_id", "comp", F.lit(0).alias("side")
     )
-    more = _merges(docs, some, words, percent)
-    found = saved(_relabel(found, more), "placed")
+    more = _merges(docs, saved(some, "spread"), words, percent)
+    joined = more
+    if few.where("few > 1").head(1):
+        joined = components(more).select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    found = saved(_relabel(found, joined), "placed")
     # Now only documents outside the largest component of their family can add links.
     sizes = found.groupBy("family", "comp").agg(F.count("*").alias("docs"))
     main = sizes.groupBy("family").agg(F.max(F.struct("docs", "comp")).alias("top")).select("family", F.col("top.comp").alias("main"))
@@ -485,8 +486,12 @@ def _across_parts(docs: DataFrame, big: DataFrame, merges: DataFrame, words: int
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1)))
         .select(tile, "doc_id", "comp", F.lit(0).alias("side"))
     )
-    last = _merges(docs, left.unionByName(right), words, percent)
-    return merges.unionByName(more).unionByName(last)
+    last = _merges(docs, saved(left.unionByName(right), "tiles"), words, percent)
+    if not more.unionByName(last).head(1):
+        return labels
+    linked = components(labels.join(big.select(F.col("doc_id").alias("a")), "a", "left_semi").unionByName(more).unionByName(last))
+    small = labels.join(big.select(F.col("doc_id").alias("a")), "a", "left_anti")
+    return small.unionByName(linked.select(F.col("node").alias("a"), F.col("comp").alias("b")))
 
 
 def one_per_group(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
