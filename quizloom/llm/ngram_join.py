@@ -345,7 +345,7 @@ class SignatureTree:
 
 
 def _trees(words: int, percent: int):
-    """Task: rows sorted by group; per group the merges of components that its links make."""
+    """Task: rows sorted by group; per group (component, smallest component it is linked with)."""
 
     def solve(ids, comps, sides, texts):
         sets = [shingle_set(t, words) for t in texts]
@@ -360,7 +360,10 @@ def _trees(words: int, percent: int):
             root[x] = first.setdefault(c, x)
         side = np.array([sides[x] for x in at])
         tree.join(root, (lambda i, j: side[i] != side[j]) if side.any() else None)
-        return [(c, comp[r]) for c, r in zip(comp, root.tolist()) if c != comp[r]]
+        least: dict[int, int] = {}
+        for c, r in zip(comp, root.tolist()):
+            least[r] = min(c, least.get(r, c))
+        return [(c, least[r]) for c, r in zip(comp, root.tolist()) if c != least[r]]
 
     def run(batches):
         now, rows = None, []
