@@ -10,9 +10,12 @@ end and cut at full sequences and, at the very end, at powers of two.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,26 +30,30 @@ _JOINED = 64
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """Ids of a tokenizer file whose pieces never hold white space: words met before are looked
     up. Plain Latin words go straight to the merges, all else through the whole tokenizer."""
 
     def __init__(self, path: str):
-        import os
-
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
         self.model = self.full.model
-        self.plain = regex.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
-        self.odd = regex.compile(r"[\x1c-\x1f]").search
+        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+        self.odd = re.compile(r"[\x1c-\x1f]").search
         self.mapped = str.maketrans({chr(b): self._visible(b) for b in range(128, 256)})
-        self.words = Memo(self._word, 400_000)
-        self.bare = Memo(self._bare, 400_000)
+        self.words = Memo(self._word, 1_000_000)
+        self.bare = Memo(self._bare, 700_000)
 
     @staticmethod
     def _visible(b: int) -> str:
@@ -56,7 +63,7 @@ class WordTokenizer:
 
     def _bare(self, piece: str) -> bytes:
         signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.mapped)
-        return np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(signs)])
 
     def _word(self, word: str) -> bytes:
         m = self.plain(word)
@@ -65,7 +72,7 @@ class WordTokenizer:
         return self._whole(word)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.full.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         if self.odd(text):
@@ -93,7 +100,7 @@ def _fill(path: str, last_id: int):
 
     def run(batches):
         coder = kept_in_worker(f"word bpe {path}", lambda: WordTokenizer(path))
-        end = np.array([last_id], "<u4").tobytes()
+        end = _packed([last_id])
         task, made, open_bins = TaskContext.get().partitionId(), 0, {}
 
         def table(rows):
