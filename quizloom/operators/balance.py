@@ -193,7 +193,8 @@ def in_blueprint_order(accepted: DataFrame) -> DataFrame:
     """One table of all chapters, ordered by chapter and acceptance, shuffled per set by hash."""
     return accepted.withColumns(
         {
-            "blueprint_order": F.col("chapter_no") * 100_000 + F.col("place"),
+            "blueprint_chapter": F.col("chapter_no"),
+            "blueprint_place": F.col("place"),
             "shuffle_key": X.stable_number("question_uuid", "exam_set"),
         }
     )

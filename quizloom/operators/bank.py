@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut_lineage
 from .ordered import row_numbers
 
 PAGE_LIMIT = 200
@@ -140,26 +141,39 @@ def to_option_list(bank: DataFrame) -> DataFrame:
 
 
 def new_rows(bank: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows whose uuid and content hash are both new, first of each kept.
+    """Incoming rows that an insert row by row, in id order, would keep.
 
-    The registry side carries keys only. Within the batch the first row by id wins,
-    found by aggregation, so a hash shared by many rows is no hot window.
+    A row is kept if neither its uuid nor its content hash is in the bank or belongs to an
+    earlier kept row. Rows known to the bank go first, so they block nobody. Then rounds on the
+    keys alone: the open rows that are first of their uuid and of their hash are kept, and all
+    rows that share a key with them go. Firsts are found by aggregation, so a key shared by many
+    rows is no hot window. Of rows with one id one is kept.
     """
-    batch = incoming.withColumn("question_hash", X.content_hash(F.col("question")))
-    first_hash = batch.groupBy("question_hash").agg(F.min("id").alias("id"))
-    firsts = batch.join(first_hash.select("id"), "id", "left_semi")
-    first_uuid = firsts.groupBy("question_uuid").agg(F.min("id").alias("id"))
-    firsts = firsts.join(first_uuid.select("id"), "id", "left_semi")
+    keyed = incoming.withColumn("question_hash", X.content_hash(F.col("question")))
     known = bank.select("question_uuid", X.content_hash(F.col("question")).alias("question_hash"))
-    return firsts.join(known.select("question_hash"), "question_hash", "left_anti").join(
-        known.select("question_uuid"), "question_uuid", "left_anti"
-    )
+    keys = ["question_uuid", "question_hash"]
+    fresh = keyed.dropDuplicates(["id"])
+    for key in keys:
+        fresh = fresh.join(known.select(key).distinct(), key, "left_anti")
+    open_rows, kept = cut_lineage(fresh.select("id", *keys)), None
+    while not open_rows.isEmpty():
+        firsts = open_rows
+        for key in keys:
+            least = open_rows.groupBy(key).agg(F.min("id").alias("id"))
+            firsts = firsts.join(least.select("id"), "id", "left_semi")
+        firsts = cut_lineage(firsts)
+        kept = firsts if kept is None else kept.unionByName(firsts)
+        for key in keys:
+            open_rows = open_rows.join(firsts.select(key), key, "left_anti")
+        open_rows = cut_lineage(open_rows)
+    return fresh.limit(0) if kept is None else fresh.join(kept.select("id"), "id", "left_semi")
 
 
 def rejection_log(rejected: DataFrame) -> DataFrame:
-    """Log rows; the validator's name is cut to its 60 characters."""
+    """Log rows with the id and the time they are read back by; the validator's name is cut
+    to its 60 characters."""
     return rejected.select(
-        "question_uuid", "exam_set", "chapter", F.col("question").alias("question_text"),
+        "id", "created_epoch", "question_uuid", "exam_set", "chapter", F.col("question").alias("question_text"),
         "correct_answer", "difficulty", X.cut(F.col("validator_failed"), 60).alias("validator_failed"), "reason",
     )
 
@@ -211,7 +225,8 @@ def set_documents(bank: DataFrame, course: str = "course", part_rows: int = PART
     """One nested document per set, questions in order.
 
     A set of the normal size is one document. A set beyond ``part_rows`` is written
-    in numbered parts, so no document (and no task) holds an unbounded set.
+    in numbered parts, so no document (and no task) holds an unbounded set; every document
+    says how many parts its set has.
     """
     numbered = row_numbers(bank, ["exam_set"], "id", "q_no").withColumn(
         "part", F.floor((F.col("q_no") - 1) / part_rows).cast("int")
@@ -222,15 +237,18 @@ def set_documents(bank: DataFrame, course: str = "course", part_rows: int = PART
         F.sort_array(F.collect_list(F.struct(*fields))).alias("questions")
     )
     return nested.join(sizes, "exam_set").select(
-        "exam_set", "part", F.lit(course).alias("course"), "total_questions", "generated_epoch", "questions"
+        "exam_set", "part", F.ceil(F.col("total_questions") / part_rows).cast("int").alias("n_parts"),
+        F.lit(course).alias("course"), "total_questions", "generated_epoch", "questions"
     )
 
 
 def answer_key_documents(bank: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     key = answer_key(bank).withColumn("part", F.floor((F.col("q_no") - 1) / part_rows).cast("int"))
-    return key.groupBy("exam_set", "part").agg(
+    sizes = bank.groupBy("exam_set").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("n_parts"))
+    nested = key.groupBy("exam_set", "part").agg(
         F.sort_array(F.collect_list(F.struct("q_no", "question", "correct_answer", "difficulty", "chapter"))).alias("answer_key")
     )
+    return nested.join(sizes, "exam_set").select("exam_set", "part", "n_parts", "answer_key")
 
 
 def combined_header(bank: DataFrame, course: str = "course") -> DataFrame:
@@ -241,12 +259,6 @@ def combined_header(bank: DataFrame, course: str = "course") -> DataFrame:
     ).withColumn("course", F.lit(course))
 
 
-def last_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Row with the highest ``order`` per key, by aggregation of (key, order) only."""
-    last = df.groupBy(*key).agg(F.max(order).alias(order))
-    return df.join(last, [*key, order], "left_semi")
-
-
 def shuffled(bank: DataFrame) -> DataFrame:
     """Reproducible order per set: by a hash of uuid and set, numbered from 1."""
     seeded = bank.withColumn("shuffle_key", X.stable_number("question_uuid", "exam_set"))

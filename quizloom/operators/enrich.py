@@ -13,11 +13,11 @@ from .metrics import with_blueprint
 def enrich(bank: DataFrame, chapters: DataFrame, model: str, prompt_version: str = "v2") -> DataFrame:
     """Tags (first five topics of the chapter), weight, model, version; marks rows approved.
 
-    ``chapters`` has one row per blueprint chapter, so its broadcast has a fixed size.
+    ``chapters`` has one row per blueprint chapter; how it is joined is left to its size.
     """
     limits = with_blueprint(bank.sparkSession.range(1)).select("chapter_no", "min_q")
     dim = chapters.select("chapter_no", F.slice("topics", 1, 5).alias("_tags")).join(limits, "chapter_no")
-    return bank.join(F.broadcast(dim), "chapter_no").withColumns(
+    return bank.join(dim, "chapter_no").withColumns(
         {
             "tags": F.col("_tags"),
             "weightage": F.bround(F.col("min_q") / 100, 2),
@@ -29,15 +29,15 @@ def enrich(bank: DataFrame, chapters: DataFrame, model: str, prompt_version: str
     ).drop("_tags", "min_q")
 
 
-def passage_blocks(passages: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """Numbered passages with a breadcrumb; a key has at most ``most`` of them (``rank``)."""
+def passage_blocks(passages: DataFrame, key: str) -> DataFrame:
+    """All passages of a key, numbered by ``rank``, each with a breadcrumb."""
     crumb = F.concat_ws(" › ", F.nullif("section", F.lit("")), F.nullif("subsection", F.lit("")))
     head = F.concat(
         F.lit("[Passage "), F.col("rank").cast("string"), F.lit("]"),
         F.when(crumb != "", F.concat(F.lit(" ("), crumb, F.lit(")"))).otherwise(""),
     )
     line = F.concat(head, F.lit("\n"), X.strip(F.col("text")))
-    return passages.where(F.col("rank") <= most).select(key, "rank", line.alias("line")).groupBy(key).agg(
+    return passages.select(key, "rank", line.alias("line")).groupBy(key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("block")
     )
 

@@ -1,7 +1,7 @@
 """Answers that another question of the set gives away.
 
 The test "one string contains the other" becomes an equi-join: whatever is contained
-starts with some three (or two) characters, and the container has these characters
+starts with some three (two, one) characters, and the container has these characters
 somewhere. Facts and answers are folded per set first, and only the two best
 sources of every answer are kept, because a row needs at most one that is not itself.
 """
@@ -25,13 +25,15 @@ def _grams(s: Column, n: int) -> Column:
 
 def _contained(inner: DataFrame, outer: DataFrame, si: str, so: str) -> DataFrame:
     """(set, fact key, answer key) where ``si`` of inner lies inside ``so`` of outer."""
-    i = inner.where(F.length(si) >= 2).withColumn("g", F.substring(F.col(si), 1, 3))
-    o = outer.withColumn("g", F.explode(F.concat(_grams(F.col(so), 3), _grams(F.col(so), 2))))
+    i = inner.where(F.length(si) >= 1).withColumn("g", F.substring(F.col(si), 1, 3))
+    o = outer.withColumn("g", F.explode(F.concat(_grams(F.col(so), 3), _grams(F.col(so), 2), _grams(F.col(so), 1))))
     return i.join(o, ["exam_set", "g"]).where(F.contains(F.col(so), F.col(si)))
 
 
-def answer_leaks(bank: DataFrame, least_answer: int = 2) -> DataFrame:
-    """Leaked rows: ``id``, ``anchor`` (smallest of the best source), ``source_id``."""
+def answer_leaks(bank: DataFrame, least_answer: int = 1) -> DataFrame:
+    """Leaked rows: ``id``, ``anchor`` (smallest of the best source), ``source_id``.
+
+    Answers shorter than ``least_answer`` characters take no part."""
     text = F.concat_ws(" ", F.col("question"), F.array_join("options", " "))
     found = bank.select("exam_set", "id", F.explode(X.anchors(text)).alias("anchor"))
     # A fact with two sources leaks to everyone; one with a single source spares it.

@@ -19,12 +19,14 @@ def available_slugs(pool: DataFrame, questions: DataFrame, sets: DataFrame) -> D
     slugs, not chunks, meet the sets.
     """
     scored = pool.join(
-        F.broadcast(questions.select("chapter_no", F.col("vec").alias("qv"))), "chapter_no"
+        questions.select("chapter_no", F.col("vec").alias("qv")), "chapter_no"
     ).withColumn("score", F.round(dot(F.col("qv"), F.col("vec")), 6))
     folded = scored.groupBy("chapter_no", "topic_slug", F.sort_array("used_in_sets").alias("used_in_sets")).agg(
         F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("b")
     )
-    chapters = sets.select("exam_set", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("chapter_no"))
+    # The chapters are those of the blueprint's questions, a short list.
+    numbers = [F.lit(r.chapter_no) for r in questions.select("chapter_no").distinct().collect()]
+    chapters = sets.select("exam_set", F.explode(F.array(*numbers)).alias("chapter_no"))
     met = folded.join(chapters, "chapter_no").withColumn(
         "unused", ~F.array_contains("used_in_sets", F.col("exam_set").cast("string"))
     )
@@ -92,7 +94,7 @@ def chunk_for_slug(sampled: DataFrame, pool: DataFrame, questions: DataFrame) ->
     slugs = sampled.select("chapter_no", "topic_slug").distinct()
     scored = (
         pool.join(slugs, ["chapter_no", "topic_slug"], "left_semi")
-        .join(F.broadcast(questions.select("chapter_no", F.col("vec").alias("qv"))), "chapter_no")
+        .join(questions.select("chapter_no", F.col("vec").alias("qv")), "chapter_no")
         .withColumn("fit", F.round(dot(F.col("qv"), F.col("vec")), 6))
     )
     best = scored.groupBy("chapter_no", "topic_slug").agg(

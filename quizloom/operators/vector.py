@@ -15,9 +15,10 @@ from .ordered import first_n
 from .tiles import matches_across
 
 CANDIDATES = 20
+#: A query batch is sent to the corpus up to this many bytes of vectors.
+SENT_QUERY_BYTES = 64 * 2**20
 DEFAULT_TOP_K = 8
 RELEVANCE_WEIGHT = 0.6
-SMALL_QUERY_ROWS = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,11 +89,12 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, block: list[str] | None
 
     ``corpus`` has ``id`` and ``vec``, ``queries`` has ``query_id`` and ``vec``; ``block``
     names columns that must be equal on both sides. The size of the query batch is
-    checked: a small one is sent to the corpus, a large one meets it tile by tile.
+    checked in bytes: a small one is sent to the corpus, a large one meets it tile by tile, with
+    the same result.
     """
     block = block or []
-    few = queries.select("query_id").limit(SMALL_QUERY_ROWS + 1).count() <= SMALL_QUERY_ROWS
-    if few:
+    size = queries.agg(F.sum(8 * F.size("vec") + 64)).first()[0] or 0
+    if size <= SENT_QUERY_BYTES:
         partial = _scan_top_k(corpus, queries, k, block)
     else:
         keys = block or ["_all"]
@@ -110,10 +112,10 @@ def _overlap(a: set, b: set) -> float:
 
 
 def diversify(candidates: DataFrame, k: int = DEFAULT_TOP_K, weight: float = RELEVANCE_WEIGHT) -> DataFrame:
-    """Maximal marginal relevance per query over its (at most ``CANDIDATES``) candidates.
+    """Maximal marginal relevance per query over its candidates.
 
     Needs ``query_id``, ``id``, ``score``, ``rank``, ``text``; bigram sets are made on
-    the JVM side, and a group never exceeds the candidate limit.
+    the JVM side, and a group holds the candidates of one query.
     """
     pool = candidates.select("query_id", "id", "score", "rank", X.bigrams(F.col("text")).alias("pairs"))
     q_type = candidates.schema["query_id"].dataType.simpleString()
@@ -149,16 +151,19 @@ def diversify(candidates: DataFrame, k: int = DEFAULT_TOP_K, weight: float = REL
     )
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, block: list[str] | None = None) -> DataFrame:
+def retrieve(
+    corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, block: list[str] | None = None, candidates: int = CANDIDATES
+) -> DataFrame:
     """Filtered nearest neighbours, then re-ranking, for all queries in one job."""
-    near = top_k(corpus, queries, CANDIDATES, block)
+    if k > candidates:
+        raise ValueError(f"{k} passages cannot be chosen from {candidates} candidates")
+    near = top_k(corpus, queries, candidates, block)
     return diversify(near.join(corpus.select("id", "text"), "id"), k)
 
 
 def upsert(store: DataFrame, incoming: DataFrame, batch_order: str = "batch_no") -> DataFrame:
     """Incoming vectors replace stored ones of the same namespace and id; the last batch wins."""
-    last = incoming.groupBy("namespace", "id").agg(F.max(batch_order).alias(batch_order))
-    newest = incoming.join(last, ["namespace", "id", batch_order], "left_semi").drop(batch_order)
+    newest = last_versions(incoming, batch_order).drop(batch_order)
     kept = store.join(newest.select("namespace", "id"), ["namespace", "id"], "left_anti")
     return kept.unionByName(newest)
 
@@ -211,7 +216,9 @@ def distractor_reason(scores: DataFrame, low: float = 0.30, high: float = 0.97)
     )
 
 
-def last_per_batch(batch: DataFrame) -> DataFrame:
-    """Last version of every (namespace, id) in one batch, by ``version``."""
-    last = batch.groupBy("namespace", "id").agg(F.max("version").alias("version"))
-    return batch.join(last, ["namespace", "id", "version"], "left_semi")
+def last_versions(rows: DataFrame, order: str = "version") -> DataFrame:
+    """One row per (namespace, id): the last by ``order``; among equals a hash of the row decides,
+    so a repeat gives the same row again."""
+    whole = F.struct(*rows.columns)
+    last = rows.groupBy("namespace", "id").agg(F.max_by(whole, F.struct(F.col(order), F.xxhash64(*rows.columns))).alias("r"))
+    return last.select("r.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import reference_values as R
@@ -115,11 +116,11 @@ def oversampling(spark, sf):
 
 @query(
     "chapters_in_blueprint_order",
-    alloc("SELECT id, exam_set, chapter_no * 100000 + place AS blueprint_order, CAST('0x' || substring(md5(question_uuid || '|' || exam_set), 1, 15) AS BIGINT) AS shuffle_key FROM accepted", ITEMS_SQL, ACCEPT_SQL),
+    alloc("SELECT id, exam_set, chapter_no AS blueprint_chapter, CAST(place AS INTEGER) AS blueprint_place, CAST('0x' || substring(md5(question_uuid || '|' || exam_set), 1, 15) AS BIGINT) AS shuffle_key FROM accepted", ITEMS_SQL, ACCEPT_SQL),
 )
 def chapters_in_blueprint_order(spark, sf):
     acc = B.accept_quota(_survivors(spark, sf), _quotas(spark, sf), ["exam_set", "chapter_no"], "position")
-    return B.in_blueprint_order(acc).select("id", "exam_set", "blueprint_order", "shuffle_key")
+    return B.in_blueprint_order(acc).select("id", "exam_set", "blueprint_chapter", "blueprint_place", "shuffle_key")
 
 
 # Answers drawn towards the first option, so that the position rule has work to do.
@@ -246,10 +247,8 @@ marked AS (SELECT p.id, list_sort(list_distinct(list_concat(p.used_in_sets, coal
 )
 def chunks_marked_used(spark, sf):
     keys = ["exam_set", "chapter_no"]
-    # A chapter's passages are bounded by its quota, at most 18 rows per group.
-    from ..operators.ordered import first_n
-
-    passages = first_n(_chunks(spark, sf), keys, [F.col("topic_slug")], 18, "place").select(*keys, "place", F.col("chunk_id"))
+    order = Window.partitionBy(*keys).orderBy("topic_slug")
+    passages = _chunks(spark, sf).withColumn("place", F.row_number().over(order)).select(*keys, "place", F.col("chunk_id"))
     accepted = B.accept_quota(_survivors(spark, sf), _quotas(spark, sf), keys, "position").select(*keys, "place")
     used = G.pair_by_rank(passages, accepted, keys).select(F.col("chunk_id").alias("id"), "exam_set")
     return G.mark_used(slug_pool(spark, sf), used).select("id", F.array_join(F.sort_array("used_in_sets"), ",").alias("used"), "q_count")

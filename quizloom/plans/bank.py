@@ -103,12 +103,20 @@ def options_round_trip(spark, sf):
 
 @q(
     "append_new_questions",
-    f"""SELECT id, exam_set, h AS question_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY id) AS r FROM
- (SELECT id, exam_set, {HASH} AS h FROM items WHERE validation_status <> 'approved')) WHERE r = 1 AND h NOT IN (SELECT {HASH} FROM items WHERE validation_status = 'approved')""",
+    f"""SELECT id, exam_set, h AS question_hash FROM arrived WHERE list_contains((SELECT ids FROM steps ORDER BY n DESC LIMIT 1), id)""",
+    f"""keyed AS (SELECT id, exam_set, validation_status, CASE WHEN id % 3 = 1 AND validation_status <> 'approved' THEN 'q-' || (id - 1) ELSE question_uuid END AS u, {HASH} AS h FROM items),
+arrived AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS n FROM keyed WHERE validation_status <> 'approved'
+ AND h NOT IN (SELECT h FROM keyed WHERE validation_status = 'approved') AND u NOT IN (SELECT u FROM keyed WHERE validation_status = 'approved')),
+steps(n, us, hs, ids) AS (SELECT CAST(0 AS BIGINT), []::VARCHAR[], []::VARCHAR[], []::BIGINT[]
+ UNION ALL SELECT a.m, CASE WHEN new THEN list_append(us, a.u) ELSE us END, CASE WHEN new THEN list_append(hs, a.h) ELSE hs END, CASE WHEN new THEN list_append(ids, a.id) ELSE ids END
+ FROM (SELECT s.*, a.u, a.h, a.id, a.n AS m, NOT list_contains(s.us, a.u) AND NOT list_contains(s.hs, a.h) AS new FROM steps s JOIN arrived a ON a.n = s.n + 1) a)""",
 )
 def append_new_questions(spark, sf):
+    """A third of the arriving rows carry the uuid of the row before, so keys cross."""
     bank = items(spark, sf)
-    return B.new_rows(bank.where("validation_status = 'approved'"), bank.where("validation_status <> 'approved'")).select("id", "exam_set", "question_hash")
+    old, new = bank.where("validation_status = 'approved'"), bank.where("validation_status <> 'approved'")
+    crossed = F.when(F.col("id") % 3 == 1, F.concat(F.lit("q-"), (F.col("id") - 1).cast("string"))).otherwise(F.col("question_uuid"))
+    return B.new_rows(old, new.withColumn("question_uuid", crossed)).select("id", "exam_set", "question_hash")
 
 
 _LOG = """logged AS (SELECT id, question_uuid, exam_set, chapter, question AS question_text, correct_answer, difficulty,
@@ -127,14 +135,14 @@ def _log_rows(bank):
     )
 
 
-@q("rejection_log", "SELECT question_uuid, exam_set, chapter, question_text, correct_answer, difficulty, validator_failed, reason FROM logged", _LOG)
+@q("rejection_log", "SELECT id, created_epoch, question_uuid, exam_set, chapter, question_text, correct_answer, difficulty, validator_failed, reason FROM logged", _LOG)
 def rejection_log(spark, sf):
     return B.rejection_log(_log_rows(items(spark, sf)))
 
 
 @q("newest_log_entries", "SELECT id, validator_failed, reason FROM logged WHERE chapter = 'Word Processing' ORDER BY created_epoch DESC, id DESC LIMIT 100", _LOG)
 def newest_log_entries(spark, sf):
-    log = _log_rows(items(spark, sf)).withColumn("validator_failed", X.cut(F.col("validator_failed"), 60))
+    log = B.rejection_log(_log_rows(items(spark, sf)))
     return B.newest_log(log, 100, chapter="Word Processing").select("id", "validator_failed", "reason")
 
 
@@ -158,7 +166,7 @@ def registry_without_set(spark, sf):
 
 @q(
     "set_documents",
-    "SELECT exam_set, 0 AS part, 'course' AS course, count(*) AS total_questions, max(created_epoch) AS generated_epoch, md5(string_agg(correct_answer || '#' || difficulty, '|' ORDER BY id)) AS digest FROM items GROUP BY 1",
+    "SELECT exam_set, 0 AS part, 1 AS n_parts, 'course' AS course, count(*) AS total_questions, max(created_epoch) AS generated_epoch, md5(string_agg(correct_answer || '#' || difficulty, '|' ORDER BY id)) AS digest FROM items GROUP BY 1",
 )
 def set_documents(spark, sf):
     docs = B.set_documents(items(spark, sf).select("exam_set", "id", "question", "correct_answer", "difficulty", "created_epoch"))
@@ -168,11 +176,11 @@ def set_documents(spark, sf):
 
 @q(
     "answer_key_documents",
-    "SELECT exam_set, 0 AS part, md5(string_agg(id % 100 + 1 || '#' || correct_answer, '|' ORDER BY id)) AS digest FROM items GROUP BY 1",
+    "SELECT exam_set, 0 AS part, 1 AS n_parts, md5(string_agg(id % 100 + 1 || '#' || correct_answer, '|' ORDER BY id)) AS digest FROM items GROUP BY 1",
 )
 def answer_key_documents(spark, sf):
     inner = F.transform("answer_key", lambda x: F.concat_ws("#", x["q_no"], x["correct_answer"]))
-    return B.answer_key_documents(items(spark, sf)).select("exam_set", "part", F.md5(F.array_join(inner, "|")).alias("digest"))
+    return B.answer_key_documents(items(spark, sf)).select("exam_set", "part", "n_parts", F.md5(F.array_join(inner, "|")).alias("digest"))
 
 
 @q("combined_header", "SELECT count(DISTINCT exam_set) AS total_sets, count_if(exam_set = 1) AS questions_per_set, 'course' AS course FROM items")

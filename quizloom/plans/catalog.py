@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def with_(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body

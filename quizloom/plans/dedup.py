@@ -104,15 +104,19 @@ def nearest_registered_question(spark, sf):
     )
 
 
-@query(
-    "semantic_duplicates",
-    with_(
-        ITEMS_SQL, VEC_SQL, f"hashed AS (SELECT *, {HASH} AS h FROM vecs)",
-        body=f"""SELECT a.id, CASE WHEN max(CASE WHEN a.h = b.h THEN 1 ELSE 0 END) = 1 THEN 'exact_text' ELSE 'vector' END AS kind
+# At 0.9 only equal vectors are close, so a candidate falls to the first fresh one with its vector.
+SEMANTIC_CTES = (
+    VEC_SQL, f"hashed AS MATERIALIZED (SELECT id, exam_set, validation_status, vec, vec_id, {HASH} AS h FROM vecs)",
+    f"""olddup AS MATERIALIZED (SELECT a.id, CASE WHEN max(CASE WHEN a.h = b.h THEN 1 ELSE 0 END) = 1 THEN 'exact_text' ELSE 'vector' END AS kind
  FROM hashed a JOIN hashed b ON a.exam_set = b.exam_set AND (a.h = b.h OR {DOT} >= 0.9)
- WHERE a.validation_status <> 'approved' AND b.validation_status = 'approved' GROUP BY a.id""",
-    ),
+ WHERE a.validation_status <> 'approved' AND b.validation_status = 'approved' GROUP BY a.id)""",
+    """fresh AS (SELECT *, id = min(id) OVER (PARTITION BY exam_set, h) AS lead FROM hashed WHERE validation_status <> 'approved' AND id NOT IN (SELECT id FROM olddup)),
+ semdup AS (SELECT * FROM olddup UNION ALL SELECT id, 'exact_text' FROM fresh WHERE NOT lead
+ UNION ALL SELECT id, 'vector' FROM (SELECT id, min(id) OVER (PARTITION BY exam_set, vec_id) AS f FROM fresh WHERE lead) WHERE id <> f)""",
 )
+
+
+@query("semantic_duplicates", with_(ITEMS_SQL, *SEMANTIC_CTES, body="SELECT id, kind FROM semdup"))
 def semantic_duplicates(spark, sf):
     v = vector_items(spark, sf)
     return D.semantic_duplicates(v.where("validation_status <> 'approved'"), v.where("validation_status = 'approved'"), ["exam_set"])

@@ -18,7 +18,6 @@ _WIDTHS = {
     "allocation_invariants": {"total": "BIGINT", "chapters_in_bounds": "BIGINT"},
     "allocation_report": {"quota": "BIGINT"},
     "quota_acceptance": {"place": "INTEGER"},
-    "chapters_in_blueprint_order": {"blueprint_order": "INTEGER"},
     "set_metrics": {**_LEVELS, "chapters_in_range": "BIGINT"},
     "level_distributions": _LEVELS,
     "difficulty_balance": {"chapters_in_range": "BIGINT"},

@@ -113,7 +113,12 @@ def unseen_questions(spark, sf):
 
 @query(
     "rule_engine",
-    with_(ITEMS_SQL, DUP_SQL, body=f"SELECT i.id, coalesce({STRUCTURE_SQL}, 'formatting:' || {FORMAT_SQL}, 'duplicate:' || d.duplicate) AS reason FROM items i JOIN dup d ON d.id = i.id"),
+    with_(
+        ITEMS_SQL,
+        f"cheap AS (SELECT id, exam_set, {HASH} AS h, coalesce({STRUCTURE_SQL}, 'formatting:' || {FORMAT_SQL}) AS why FROM items)",
+        "firsts AS (SELECT h, min(id) AS head, arg_min(exam_set, id) AS head_set FROM cheap WHERE why IS NULL GROUP BY h)",
+        body="SELECT id, coalesce(why, CASE WHEN head < id THEN 'duplicate:' || CASE WHEN head_set = exam_set THEN 'within_set' ELSE 'across_sets' END END) AS reason FROM cheap LEFT JOIN firsts USING (h)",
+    ),
 )
 def rule_engine(spark, sf):
     return QP.rule_engine(items(spark, sf), fuzzy=False)

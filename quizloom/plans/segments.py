@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import reference_values as R
 from ..functions import text as X
 from ..operators import segment as S
+from ..schemas import SLUG_RULE
 from .catalog import query, with_
 from .items import table
 
@@ -172,7 +173,8 @@ def _tagged(spark, sf):
     sections = S.book_sections(_book_text(spark, sf)).withColumn(
         "chapter_id", F.concat(F.lit("ch"), (F.col("doc_id") % 9 + 1).cast("string"))
     )
-    return S.tag_slugs(sections, RULES)
+    rules = spark.createDataFrame([{**r, "ordinal": i} for i, r in enumerate(RULES)], SLUG_RULE)
+    return S.tag_slugs(sections, rules)
 
 
 def _rule_case(t: str, col: str) -> str:

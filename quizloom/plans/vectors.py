@@ -12,23 +12,25 @@ from .items import ITEMS_SQL, items, table
 
 
 def corpus(spark, sf):
-    """Vectors with their text and filter columns."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
-    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return emb.join(docs, emb.id == docs.doc_id).drop("doc_id")
+    """Every document with a vector and filter columns; documents beyond the vectors share some."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    n = emb.count()
+    return docs.withColumn("vec_id", (F.col("id") * 7) % n).join(emb, "vec_id").select("id", "vec", "label", "text", "source", "lang")
 
 
-CORPUS_SQL = "corpus AS (SELECT e.vec_id AS id, e.embedding AS vec, e.label, d.text, d.source, d.lang FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"
+CORPUS_SQL = "corpus AS (SELECT d.doc_id AS id, e.embedding AS vec, e.label, d.text, d.source, d.lang FROM documents d JOIN embeddings e ON e.vec_id = (d.doc_id * 7) % (SELECT count(*) FROM embeddings))"
 
 
 def passages(spark, sf):
     """One query per benchmark passage, asking inside one label."""
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = emb.count()
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    return b.join(emb, b.query_id == emb.vec_id).select("query_id", "vec", (F.col("query_id") % 10).cast("int").alias("label"))
+    return b.join(emb, b.query_id % n == emb.vec_id).select("query_id", "vec", (F.col("query_id") % 10).cast("int").alias("label"))
 
 
-QUERY_SQL = "ask AS (SELECT b.item_id AS query_id, e.embedding AS vec, CAST(b.item_id % 10 AS INT) AS label FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
+QUERY_SQL = "ask AS (SELECT b.item_id AS query_id, e.embedding AS vec, CAST(b.item_id % 10 AS INT) AS label FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id % (SELECT count(*) FROM embeddings))"
 SCORE = "round(list_inner_product(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])), 6)"
 
 

@@ -13,10 +13,10 @@ from ..operators import vector as VE
 from ..operators.ordered import batch_numbers
 from .balance import POSITION_SQL
 from .catalog import query, with_
-from .dedup import DOT, VEC_SQL, anchors_sql, vector_items
+from .dedup import SEMANTIC_CTES, VEC_SQL, anchors_sql, vector_items
 from .items import ITEMS_SQL, items
 from .bank import HASH
-from .rules import BALANCE_SQL, DUP_SQL, END_SQL, FORMAT_SQL, SCOPE_SQL, SIGNAL_SQL, STATEMENT_SQL, STRUCTURE_SQL
+from .rules import BALANCE_SQL, END_SQL, FORMAT_SQL, SCOPE_SQL, SIGNAL_SQL, STATEMENT_SQL, STRUCTURE_SQL
 from .vectors import DIST_REASON_SQL, DIST_SQL, OPTION_VEC_SQL, option_vectors
 
 KEYS = ["exam_set"]
@@ -205,19 +205,22 @@ def quality_pass(spark, sf):
     return QP.quality_pass(bank, option_vectors(spark, sf), said(6, "implausible"), said(13, "grammar"), distractor_low=-0.1)
 
 
-AFTER_SQL = f"""sem2 AS (SELECT a.id FROM hashed a JOIN hashed b ON a.exam_set = b.exam_set AND (a.h = b.h OR {DOT} >= 0.9)
- WHERE a.validation_status <> 'approved' AND b.validation_status = 'approved' GROUP BY a.id),
-after AS (SELECT i.id, i.question_uuid, i.chapter, least(i.retry_count, 3) AS attempts, coalesce('rule_engine:' || coalesce({STRUCTURE_SQL}, 'formatting:' || {FORMAT_SQL}, 'duplicate:' || d.duplicate),
- CASE WHEN ({SIGNAL_SQL} IS NOT NULL OR question_type IN ('assertion_reason', 'scenario_based', 'sequence_order')) AND quality IS NULL THEN 'difficulty_bloom:unclassified' END,
- 'course_alignment:' || {SCOPE_SQL}, CASE WHEN s.id IS NOT NULL THEN 'semantic_duplicate:semantic' END) AS failed_stage
- FROM items i JOIN dup d ON d.id = i.id LEFT JOIN sem2 s ON s.id = i.id)"""
-AFTER_CTES = (ITEMS_SQL, VEC_SQL, f"hashed AS (SELECT *, {HASH} AS h FROM vecs)", DUP_SQL, AFTER_SQL)
+AFTER_SQL = f"""sem2 AS (SELECT DISTINCT id FROM semdup),
+checked AS (SELECT i.id, i.exam_set, i.question_uuid, i.chapter, i.retry_count, {HASH} AS h, coalesce({STRUCTURE_SQL}, 'formatting:' || {FORMAT_SQL}) AS why,
+ coalesce(CASE WHEN ({SIGNAL_SQL} IS NOT NULL OR question_type IN ('assertion_reason', 'scenario_based', 'sequence_order')) AND quality IS NULL THEN 'difficulty_bloom:unclassified' END,
+ 'course_alignment:' || {SCOPE_SQL}, CASE WHEN s.id IS NOT NULL THEN 'semantic_duplicate:semantic' END) AS later FROM items i LEFT JOIN sem2 s ON s.id = i.id),
+firsts AS (SELECT h, min(id) AS head, arg_min(exam_set, id) AS head_set FROM checked WHERE why IS NULL AND later IS NULL GROUP BY h),
+after AS (SELECT id, question_uuid, chapter, least(retry_count, 3) AS attempts,
+ coalesce('rule_engine:' || coalesce(why, CASE WHEN head < id THEN 'duplicate:' || CASE WHEN head_set = exam_set THEN 'within_set' ELSE 'across_sets' END END), later) AS failed_stage
+ FROM checked LEFT JOIN firsts USING (h))"""
+AFTER_CTES = (ITEMS_SQL, *SEMANTIC_CTES, AFTER_SQL)
 
 
 def _after(spark, sf):
     bank = vector_items(spark, sf)
     sem = D.semantic_duplicates(bank.where("validation_status <> 'approved'"), bank.where("validation_status = 'approved'"), ["exam_set"])
-    return QP.after_verdict(bank, classified(spark, sf), sem)
+    # The edit ratio has no SQL; its tiers run in ``rule_engine_with_fuzzy_tier``.
+    return QP.after_verdict(bank, classified(spark, sf), sem, fuzzy=False)
 
 
 @query("stage_chain", with_(*AFTER_CTES, body="SELECT id, failed_stage, attempts FROM after"))

@@ -34,6 +34,8 @@ QUESTION_BANK = T.StructType(
 
 VALIDATION_LOG = T.StructType(
     [
+        T.StructField("id", T.LongType()),
+        T.StructField("created_epoch", T.LongType()),
         T.StructField("question_uuid", T.StringType()),
         T.StructField("exam_set", T.IntegerType()),
         T.StructField("chapter", T.StringType()),
@@ -42,7 +44,6 @@ VALIDATION_LOG = T.StructType(
         T.StructField("difficulty", T.StringType()),
         T.StructField("validator_failed", T.StringType()),
         T.StructField("reason", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
     ]
 )
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "quizloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and the bench; a cluster brings its own session."""
+def build_session(
+    app: str = "quizloom", cores: str = "*", shuffle_partitions: int = 8, scratch: str = "/tmp/quizloom-scratch"
+) -> SparkSession:
+    """Local session for tests and the bench; a cluster brings its own session and scratch folder."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -18,6 +19,9 @@ def build_session(app: str = "quizloom", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", scratch)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.files.minPartitionNum", "8")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -26,18 +30,11 @@ def build_session(app: str = "quizloom", cores: str = "*", shuffle_partitions: i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of this machine.
-    """
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="quizloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -62,12 +62,9 @@ def read_slug_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SLUG_CHUNK).json(path)
 
 
-def read_slug_rules(spark: SparkSession, path: str, most: int = 5000) -> list[dict]:
-    """The user's ordered tag rules. A configuration table: its size is checked."""
-    rows = spark.read.schema(S.SLUG_RULE).json(path).orderBy("chapter_id", "ordinal").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} tag rules")
-    return [r.asDict() for r in rows]
+def read_slug_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The user's ordered tag rules: ``chapter_id``, ``ordinal``, ``pattern``, ``slug``, levels."""
+    return spark.read.schema(S.SLUG_RULE).json(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -86,6 +83,7 @@ _QUESTION = T.StructType(
 _EXPORT = T.StructType(
     [
         T.StructField("exam_set", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("n_parts", T.IntegerType()),
         T.StructField("course", T.StringType()), T.StructField("total_questions", T.LongType()),
         T.StructField("generated_epoch", T.LongType()), T.StructField("questions", T.ArrayType(_QUESTION)),
     ]

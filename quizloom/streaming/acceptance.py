@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators.vector import last_per_batch
+from ..operators.vector import last_versions
 from ..sources.files import exists
 
 
@@ -30,7 +30,8 @@ def _batch_path(path: str, batch_id: int) -> str:
 def accept_stream(stream: DataFrame, registry_path: str, checkpoint: str, registry_schema: T.StructType | str) -> None:
     """Accept unseen questions batch by batch into a registry folder.
 
-    In a batch the smallest id of a hash wins; earlier batches win over later ones. A
+    In a batch the row with the smallest id of a hash wins, and a row that arrives again is
+    accepted once; earlier batches win over later ones. A
     batch writes its own sub-folder in overwrite mode and reads only the folders of
     earlier batches, so a replayed batch gives the same result.
     """
@@ -38,8 +39,9 @@ def accept_stream(stream: DataFrame, registry_path: str, checkpoint: str, regist
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keyed = batch.withColumn("question_hash", X.content_hash(F.col("question")))
-        firsts = keyed.groupBy("question_hash").agg(F.min("id").alias("id")).select("id")
-        fresh = keyed.join(firsts, "id", "left_semi")
+        whole = F.struct(*keyed.columns)
+        firsts = keyed.groupBy("question_hash").agg(F.min_by(whole, F.struct("id", F.xxhash64(*keyed.columns))).alias("r"))
+        fresh = firsts.select("r.*")
         if batch_id > 0 and exists(spark, registry_path):
             known = spark.read.schema(registry_schema).parquet(registry_path).where(F.col("batch_id") < batch_id)
             fresh = fresh.join(known.select("question_hash").distinct(), "question_hash", "left_anti")
@@ -58,7 +60,7 @@ def register_vectors(stream: DataFrame, store_path: str, checkpoint: str) -> Non
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        last_per_batch(batch).write.mode("overwrite").parquet(_batch_path(store_path, batch_id))
+        last_versions(batch).write.mode("overwrite").parquet(_batch_path(store_path, batch_id))
 
     query = (
         stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -69,5 +71,4 @@ def register_vectors(stream: DataFrame, store_path: str, checkpoint: str) -> Non
 def current_vectors(spark: SparkSession, store_path: str, schema: str) -> DataFrame:
     """Last registered version of every vector."""
     rows = spark.read.schema(f"{schema}, batch_id int").parquet(store_path)
-    last = rows.groupBy("namespace", "id").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(last, ["namespace", "id", "batch_id"], "left_semi")
+    return last_versions(rows, "batch_id")

@@ -73,7 +73,7 @@ def test_chapter_files(spark, tmp_path):
 def test_slug_rules_are_read_in_order(spark, tmp_path):
     rules = [{"chapter_id": "ch1", "ordinal": i, "pattern": p, "slug": p, "bloom_levels": ["apply"], "difficulty": ["easy"]} for i, p in ((2, "b"), (1, "a"))]
     (tmp_path / "r.json").write_text("\n".join(json.dumps(r) for r in rules))
-    assert [r["slug"] for r in IO.read_slug_rules(spark, str(tmp_path))] == ["a", "b"]
+    assert [r.slug for r in IO.read_slug_rules(spark, str(tmp_path)).orderBy("ordinal").collect()] == ["a", "b"]
 
 
 def test_append_skips_known_uuid_and_hash(spark):

@@ -149,9 +149,9 @@ def test_cosine_duplicates_equal_the_loop(spark):
     assert got == want and want
 
 
-@pytest.mark.parametrize("limit", [2048, 0])
+@pytest.mark.parametrize("limit", [2**20, 0])
 def test_top_k_small_and_tiled_agree(spark, limit, monkeypatch):
-    monkeypatch.setattr(V, "SMALL_QUERY_ROWS", limit)
+    monkeypatch.setattr(V, "SENT_QUERY_BYTES", limit)
     rng = np.random.default_rng(4)
     c, q = _unit(rng, 120), _unit(rng, 9)
     c[7] = c[3]
