@@ -145,7 +145,7 @@ LEAK_SQL = f"""facts0 AS (SELECT *, {anchors_sql("question || ' ' || array_to_st
 facts2 AS (SELECT exam_set, id, a, CASE WHEN id % 3 = 0 AND len(a) > 0 THEN 'about ' || list_min(a) ELSE correct_answer END AS answer FROM facts0),
 anch AS (SELECT exam_set, id, unnest(a) AS anchor FROM facts2),
 leak AS (SELECT j.exam_set, j.id, min(i.anchor) AS anchor FROM facts2 j JOIN anch i ON i.exam_set = j.exam_set AND i.id <> j.id
- WHERE length(trim(j.answer)) >= 2 AND length(i.anchor) >= 2 AND (
+ WHERE length(trim(j.answer)) >= 1 AND (
  contains(replace(upper(j.answer), ' ', ''), replace(upper(i.anchor), ' ', '')) OR contains(replace(upper(i.anchor), ' ', ''), replace(upper(j.answer), ' ', ''))
  OR contains(regexp_replace(lower(trim(j.answer)), '\\s+', ' ', 'g'), i.anchor) OR contains(i.anchor, regexp_replace(lower(trim(j.answer)), '\\s+', ' ', 'g')))
  GROUP BY ALL)"""
