@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import saved, shuffle_width
 
 K, S, SIZE = 5, 2, 64
+#: The first documents of the id ranges are sent to all tasks up to this size.
+SENT_BYTES = 64 * 2**20
 _PIECES = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{1,3}|[^\s\p{L}\p{M}\p{N}]"
 
 
@@ -35,10 +37,10 @@ def syncmers(text: Column) -> Column:
         last = K - S
 
         def run(i: Column) -> Column:
-            first, end = s.getItem(i), s.getItem(i + last)
-            inner = [s.getItem(i + j) for j in range(1, last)]
+            first, end = s[i], s[i + last]
+            inner = [s[i + j] for j in range(1, last)]
             edge = (first <= F.least(*inner, end)) | (end <= F.least(first, *inner))
-            return F.when(edge, F.xxhash64(first, s.getItem(i + 2), h.getItem(i + 4)))
+            return F.when(edge, F.xxhash64(first, s[i + 2], h[i + 4]))
 
         runs = F.transform(F.sequence(F.lit(0), F.size(h) - K), run)
         return F.filter(runs, lambda x: x.isNotNull())
@@ -80,21 +82,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(one_empty, (F.size(a) == F.size(b)).cast("double")).otherwise(_let(union, share))
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """``doc_id, next_id`` of distinct ids: the next smaller one, after the smallest the largest.
+def id_ranges(ids: DataFrame) -> list[tuple[int, int]]:
+    """(smallest, largest) id of ranges that hold about as many of the distinct ``ids``: one for
+    each shuffle partition at most, so their number does not grow with the rows of one."""
+    dealt = ids.repartitionByRange(shuffle_width(ids.sparkSession), "doc_id")
+    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
+    return sorted((r.low, r.top) for r in ends.collect())
 
-    Ids are dealt by ranges, looked at inside each range, and ranges are linked by their ends."""
-    spark = ids.sparkSession
-    dealt = ids.repartitionByRange(shuffle_width(spark), "doc_id").withColumn("part", F.spark_partition_id())
-    dealt = saved(dealt, "ranges")
+
+def _range_of(lows: list[int]) -> Column:
+    """Number of the range of an id: first among every ``step``-th lower end, then among those between."""
+    step = max(1, int(len(lows) ** 0.5))
+    blocks = [lows[i : i + step] for i in range(0, len(lows), step)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+
+    def within(block: Column) -> Column:
+        inner = F.filter(F.element_at(F.array(*map(longs, blocks)), block), lambda x: x <= F.col("doc_id"))
+        return (block - 1) * step + F.size(inner) - 1
+
+    reached = F.size(F.filter(longs([x[0] for x in blocks]), lambda x: x <= F.col("doc_id")))
+    return _let(reached, within).cast("int")
+
+
+def _with_next(docs: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows of distinct ids with ``head`` (the first ``most`` code points of the next text) and
+    ``following`` (its hashes). The next document is the next row of the range; the last of a range
+    gets the first of the range below, one row for each range, of a checked size."""
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc())
-    inside = dealt.withColumn("next_id", F.lead("doc_id").over(order))
-    ends = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
-    chain = Window.orderBy("part")
-    ends = ends.withColumn("below", F.lag("top").over(chain)).withColumn(
-        "below", F.coalesce("below", F.max("top").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    placed = docs.withColumn("part", _range_of([low for low, _ in ranges]))
+    after = F.lead(F.struct("text", "own")).over(order)
+    inside = placed.withColumn("after", after).select(
+        "doc_id", "text", "own", "most", "part",
+        F.substring("after.text", F.lit(1), F.col("most")).alias("head"), F.col("after.own").alias("following"),
+    )
+    firsts = [(part, ranges[part - 1][1]) for part in range(len(ranges))]
+    below = docs.sparkSession.createDataFrame(firsts, "for_part int, top long")
+    edge = docs.join(F.broadcast(below), F.col("doc_id") == F.col("top")).select("for_part", F.col("text").alias("edge"), F.col("own").alias("edge_own"))
+    edge = saved(edge, "edges")
+    size = edge.agg(F.sum(F.octet_length("edge") + 8 * SIZE)).first()[0] or 0
+    edge = F.broadcast(edge) if size <= SENT_BYTES else edge
+    last = F.col("following").isNull() & (F.col("part") == F.col("for_part"))
+    return inside.join(edge, last, "left").select(
+        "doc_id", "text", "own",
+        F.coalesce("head", F.substring("edge", F.lit(1), F.col("most"))).alias("head"),
+        F.coalesce("following", "edge_own").alias("following"),
     )
-    return inside.join(ends, "part").select("doc_id", F.coalesce("next_id", "below").alias("next_id"))
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
@@ -107,28 +139,26 @@ def fingerprints(df: DataFrame) -> DataFrame:
     of several next rows with one id the smallest text counts. A row without an id has an empty
     next document. Other columns of ``df`` are ignored.
     """
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("own", sketch(F.col("text")))
-    known = docs.where("doc_id is not null")
-    sizes = df.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.count("*").alias("rows"), F.max(F.char_length(F.coalesce("text", F.lit("")))).alias("longest")
-    )
-    sizes = saved(sizes, "sizes")
-    links = next_ids(sizes.select("doc_id")).join(sizes.select("doc_id", F.expr("longest div 3").alias("most")), "doc_id")
-    source = known
-    if sizes.where("rows > 1").head(1):
-        first = Window.partitionBy("doc_id").orderBy("text")
-        source = known.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    heads = (
-        links.withColumnRenamed("doc_id", "for_id")
-        .join(source, F.col("next_id") == F.col("doc_id"))
-        .select("for_id", F.substring("text", F.lit(1), F.col("most")).alias("head"), F.col("own").alias("following"))
-    )
-    paired = known.join(heads, F.col("doc_id") == F.col("for_id")).drop("for_id")
-    alone = docs.where("doc_id is null").withColumns({"head": F.lit(""), "following": _no_hashes()})
-    rows = paired.unionByName(alone)
-    n = F.char_length("text")
+    plain = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = plain.where("doc_id is not null")
+    most = F.expr("char_length(text) div 3").cast("int")
+    ids = saved(known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(most).alias("most")), "ids")
+    ranges = id_ranges(ids.select("doc_id"))
+    own = sketch(F.col("text")).alias("own")
+    rows = plain.where("doc_id is null").select("doc_id", "text", own, F.lit("").alias("head"), _no_hashes().alias("following"))
+    repeated = ids.where("rows > 1")
+    if repeated.head(1):  # one row of an id finds the next document for all of them
+        order = Window.partitionBy("doc_id").orderBy("text")
+        numbered = known.withColumn("_n", F.row_number().over(order))
+        single = numbered.where("_n = 1").join(ids, "doc_id").select("doc_id", "text", own, "most")
+        single = saved(_with_next(single, ranges), "single")
+        heads = single.join(repeated, "doc_id", "left_semi").select("doc_id", "head", "following")
+        others = numbered.where("_n > 1").join(heads, "doc_id").select("doc_id", "text", own, "head", "following")
+        rows = rows.unionByName(single).unionByName(others)
+    elif ranges:
+        rows = rows.unionByName(_with_next(known.select("doc_id", "text", own, most.alias("most")), ranges))
     cut = F.expr("char_length(text) div 3").cast("int")
+    n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "own", "following", edited.alias("edited"))
     rows = rows.withColumn("changed", sketch(F.col("edited")))
