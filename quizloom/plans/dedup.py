@@ -72,17 +72,33 @@ def cosine_duplicates(spark, sf):
     return D.cosine_duplicates(vector_items(spark, sf), ["exam_set", "chapter_no"], 0.88)
 
 
-@query("cosine_duplicates_wide")
+HEADS_SQL = "heads AS MATERIALIZED (SELECT exam_set, chapter_no, id, vec FROM vecs QUALIFY id = min(id) OVER (PARTITION BY exam_set, chapter_no, vec_id))"
+PAIRS_SQL = f"""pairs AS MATERIALIZED (SELECT * FROM (SELECT a.exam_set, a.chapter_no, a.id AS left_id, b.id AS right_id, {DOT} AS score
+ FROM heads a JOIN heads b ON a.exam_set = b.exam_set AND a.chapter_no = b.chapter_no AND a.id < b.id) WHERE score >= 0.3)"""
+# Heads one after the other: one falls if an earlier head close to it has not fallen.
+GREEDY_SQL = """lefts AS MATERIALIZED (SELECT right_id, list(left_id) AS near FROM pairs GROUP BY right_id),
+turns AS MATERIALIZED (SELECT right_id AS id, near, row_number() OVER (ORDER BY right_id) AS n FROM lefts),
+steps(n, fallen) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[] UNION ALL
+ SELECT t.n, CASE WHEN len(list_filter(t.near, lambda x: NOT list_contains(s.fallen, x))) > 0 THEN list_append(s.fallen, t.id) ELSE s.fallen END FROM steps s JOIN turns t ON t.n = s.n + 1),
+down AS MATERIALIZED (SELECT unnest(fallen) AS id FROM (SELECT fallen FROM steps ORDER BY n DESC LIMIT 1)),
+flags AS MATERIALIZED (SELECT right_id AS id, min(left_id) AS flagged_by FROM pairs WHERE left_id NOT IN (SELECT id FROM down) GROUP BY right_id),
+reps AS (SELECT exam_set, chapter_no, id, min(id) OVER (PARTITION BY exam_set, chapter_no, vec_id) AS rep FROM vecs)"""
+
+
+@query(
+    "cosine_duplicates_wide",
+    with_(
+        ITEMS_SQL, VEC_SQL, HEADS_SQL, PAIRS_SQL, GREEDY_SQL,
+        body="SELECT * FROM (SELECT r.exam_set, r.chapter_no, r.id, coalesce(f.flagged_by, CASE WHEN r.id <> r.rep THEN r.rep END) AS flagged_by FROM reps r LEFT JOIN flags f ON f.id = r.rep) WHERE flagged_by IS NOT NULL",
+    ),
+)
 def cosine_duplicates_wide(spark, sf):
     return D.cosine_duplicates(vector_items(spark, sf), ["exam_set", "chapter_no"], 0.30)
 
 
 @query(
     "cosine_pairs",
-    with_(
-        ITEMS_SQL, VEC_SQL, "heads AS (SELECT * FROM vecs QUALIFY id = min(id) OVER (PARTITION BY exam_set, chapter_no, vec_id))",
-        body=f"SELECT a.exam_set, a.chapter_no, a.id AS left_id, b.id AS right_id, round({DOT}, 4) AS score FROM heads a JOIN heads b ON a.exam_set = b.exam_set AND a.chapter_no = b.chapter_no AND a.id < b.id WHERE {DOT} >= 0.3",
-    ),
+    with_(ITEMS_SQL, VEC_SQL, HEADS_SQL, PAIRS_SQL, body="SELECT exam_set, chapter_no, left_id, right_id, round(score, 4) AS score FROM pairs"),
 )
 def cosine_pairs(spark, sf):
     return D.cosine_pairs(vector_items(spark, sf), ["exam_set", "chapter_no"], 0.30).withColumn("score", F.round("score", 4))

@@ -12,7 +12,10 @@ from ..session import scratch_path
 from ..sources import files as IO
 from .catalog import query, with_
 from .items import ITEMS_SQL, items, table
-from .segments import _raw_chunks, _tagged
+from .segments import _ASCII as ASCII_SQL
+from .segments import _HOME as HOME_SQL
+from .segments import _KW as KEYWORDS_SQL
+from .segments import BOOK_LINES, TAGGED, _raw_chunks, _tagged
 
 
 @query(
@@ -58,7 +61,13 @@ def raw_chunk_source(spark, sf):
     return chunks.select("id", "chapter", F.md5("text").alias("digest"))
 
 
-@query("slug_chunk_files")
+@query(
+    "slug_chunk_files",
+    "WITH RECURSIVE " + BOOK_LINES + ",\n" + TAGGED
+    + f""" SELECT chapter_id || '_' || topic_slug || '_' || doc_id || '_' || section_no AS chunk_id, chapter_id || ':' || topic_slug AS concept_id, 'book_v1' AS book_id,
+ array_to_string({KEYWORDS_SQL}, ',') AS keywords, CAST(least(n, 2000) AS INTEGER) AS n, {HOME_SQL} AS home_chapter
+ FROM (SELECT * REPLACE ({ASCII_SQL} AS text), length(text) AS n FROM tg)""",
+)
 def slug_chunk_files(spark, sf):
     tagged = _tagged(spark, sf).select(
         F.concat_ws("_", "chapter_id", "topic_slug", F.col("doc_id").cast("string"), F.col("section_no").cast("string")).alias("chunk_id"),

@@ -54,14 +54,35 @@ def metadata_filter(spark, sf):
     return V.top_k(kept, passages(spark, sf), 3)
 
 
-@query("diversified_passages")
+_WORDS = f"list_filter(string_split_regex(lower(text), '{X.WS}+'), lambda w: w <> '')"
+
+
+def _rerank_sql(k: int, on: str) -> str:
+    """Each step takes the candidate with the best 0.6 * score - 0.4 * largest overlap with those taken."""
+    return f"""near AS MATERIALIZED (SELECT * FROM (SELECT q.query_id, c.id, c.text, {SCORE} AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {SCORE} DESC, c.id) AS INT) AS rank
+ FROM ask q JOIN corpus c ON {on}) WHERE rank <= {V.CANDIDATES}),
+wordy AS (SELECT id, any_value({_WORDS}) AS w FROM near GROUP BY id),
+grams AS MATERIALIZED (SELECT id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE [] END AS g FROM wordy),
+ids AS (SELECT DISTINCT a.id AS a, b.id AS b FROM near a JOIN near b USING (query_id) WHERE a.id < b.id),
+over0 AS MATERIALIZED (SELECT a, b, CASE WHEN len(x.g) = 0 OR len(y.g) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) END AS o
+ FROM ids JOIN grams x ON x.id = a JOIN grams y ON y.id = b),
+over1 AS MATERIALIZED (SELECT * FROM over0 UNION ALL SELECT b, a, o FROM over0),
+rows1 AS MATERIALIZED (SELECT n.query_id, n.rank, any_value(n.score) AS score, list(coalesce(v.o, 1.0) ORDER BY m.rank) AS o
+ FROM near n JOIN near m USING (query_id) LEFT JOIN over1 v ON v.a = n.id AND v.b = m.id GROUP BY n.query_id, n.rank),
+steps(query_id, n, taken, mmr) AS (SELECT query_id, 1, [1], 0.6 * score FROM rows1 WHERE rank = 1 UNION ALL
+ SELECT query_id, n + 1, list_append(taken, rank), gain FROM (SELECT s.query_id, s.n, s.taken, r.rank, 0.6 * r.score - 0.4 * list_max(list_transform(s.taken, lambda t: r.o[t])) AS gain
+  FROM steps s JOIN rows1 r ON r.query_id = s.query_id AND NOT list_contains(s.taken, r.rank) WHERE s.n < {k}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, rank) = 1),
+picked AS (SELECT s.query_id, m.id, m.score, round(s.mmr, 6) AS mmr_score, CAST(s.n AS INT) AS place FROM steps s JOIN near m ON m.query_id = s.query_id AND m.rank = s.taken[s.n])"""
+
+
+@query("diversified_passages", with_(CORPUS_SQL, QUERY_SQL, _rerank_sql(V.DEFAULT_TOP_K, "TRUE"), body="SELECT * FROM picked"))
 def diversified_passages(spark, sf):
     c = corpus(spark, sf)
     near = V.top_k(c, passages(spark, sf), V.CANDIDATES)
     return V.diversify(near.join(c.select("id", "text"), "id"))
 
 
-@query("retrieval")
+@query("retrieval", with_(CORPUS_SQL, QUERY_SQL, _rerank_sql(6, "q.label = c.label"), body="SELECT * FROM picked"))
 def retrieval(spark, sf):
     return V.retrieve(corpus(spark, sf), passages(spark, sf), 6, ["label"])
 
