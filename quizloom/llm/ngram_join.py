@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, saved, shuffle_width
 
 #: Documents and shingles of one tree.
-TREE_DOCS, TREE_SHINGLES = 2048, 4_000_000
+TREE_DOCS, TREE_SHINGLES = 8192, 4_000_000
 #: Member lists up to this size are sent to the scan that fetches their texts; larger ones are joined.
 SENT_MEMBERS = 250_000
 
@@ -307,30 +307,34 @@ class SignatureTree:
                 x = root[x]
             return x
 
+        top, merged = np.array(root), [True]
+
         def leaves(i, j):
             keep = i != j
             if allowed is not None:
                 keep &= allowed(i, j)
             i, j = i[keep], j[keep]
             for at in range(0, len(i), 4096):
-                top = np.array([find(x) for x in range(len(root))]) if len(i) > 64 else None
+                if merged[0]:  # the components as they are now
+                    top[:] = [find(x) for x in range(len(root))]
+                    merged[0] = False
                 bi, bj = i[at : at + 4096], j[at : at + 4096]
-                if top is not None:
-                    apart = top[bi] != top[bj]
-                    bi, bj = bi[apart], bj[apart]
+                apart = top[bi] != top[bj]
+                bi, bj = bi[apart], bj[apart]
                 ok = self._possible(0, bi, bj)
                 for x, y in zip(bi[ok].tolist(), bj[ok].tolist()):
                     a, b = find(x), find(y)
                     if a != b and self.linked(x, y):
                         root[max(a, b)] = min(a, b)
+                        merged[0] = True
 
         n = len(self.sets)
         if n > 64:  # neighbours in the order first: most later pairs are then in one component
             leaves(np.arange(n - 1), np.arange(1, n))
-        top = len(self.levels) - 1
-        ends = np.arange(len(self.levels[top][0]))
+        highest = len(self.levels) - 1
+        ends = np.arange(len(self.levels[highest][0]))
         i, j = (x.ravel() for x in np.meshgrid(ends, ends, indexing="ij"))
-        stack = [(top, i[i <= j], j[i <= j])]
+        stack = [(highest, i[i <= j], j[i <= j])]
         while stack:
             level, i, j = stack.pop()
             if level == 0:
