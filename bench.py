@@ -14,6 +14,8 @@ HEADLINE = [
     "semantic_uniqueness",
     "bank_statistics",
     "rule_engine",
+    "stage_chain",
+    "quality_pass",
     "exact_duplicates",
     "cosine_duplicates",
     "semantic_duplicates",

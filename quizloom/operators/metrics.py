@@ -80,7 +80,7 @@ def _pair_total(n: Column) -> Column:
 def uniqueness(bank: DataFrame, above: float = JACCARD_LIMIT) -> DataFrame:
     """Share of question pairs of a set that are no near duplicates by word sets."""
     sizes = bank.groupBy("exam_set").agg(F.count("*").alias("n"))
-    pairs = jaccard_pair_counts(bank, ["exam_set"], "id", X.word_set(F.col("question")), above)
+    pairs = jaccard_pair_counts(bank, ["exam_set"], "id", X.word_set(F.col("question")), above, small_groups=True)
     total = _pair_total(F.col("n"))
     near = F.coalesce("pairs", F.lit(0))
     return sizes.join(pairs, "exam_set", "left").select(

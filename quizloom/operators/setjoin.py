@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _EPS = 1e-9
 
 
@@ -93,10 +95,33 @@ def _pairs_of(sets: DataFrame, group: list[str], above: float) -> DataFrame:
     )
 
 
-def jaccard_pair_counts(df: DataFrame, group: list[str], row_id: str, elements: Column, above: float) -> DataFrame:
-    """Number of row pairs per group with Jaccard above the limit, copies included."""
-    sets = weighted_sets(df, group, row_id, elements)
-    across = _pairs_of(sets, group, above).select(*group, (F.col("left_copies") * F.col("right_copies")).alias("pairs"))
+def _shared_counts(sets: DataFrame, group: list[str], above: float) -> DataFrame:
+    """The pairs of ``_pairs_of`` by counting shared elements, for groups of the size of one exam
+    set: no ranking, and one shuffle of elements. Both sides read the checkpointed sets."""
+    elements = sets.select(*group, "rep", "copies", "n", F.explode("hs").alias("h"))
+    a, b = elements.alias("a"), elements.alias("b")
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.rep") < F.col("b.rep"))
+    for g in group:
+        same = same & (F.col(f"a.{g}") == F.col(f"b.{g}"))
+    same = same & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * above - _EPS)
+    keys = [F.col(f"a.{g}").alias(g) for g in group]
+    sides = [F.col(f"{t}.{c}").alias(f"{side}_{c}") for t, side in (("a", "left"), ("b", "right")) for c in ("rep", "copies", "n")]
+    shared = a.join(b, same).groupBy(*keys, *sides).agg(F.count("*").alias("shared"))
+    joined = F.col("left_n") + F.col("right_n") - F.col("shared")
+    return shared.withColumn("joined", joined).where(F.col("shared") / F.col("joined") > above)
+
+
+def jaccard_pair_counts(
+    df: DataFrame, group: list[str], row_id: str, elements: Column, above: float, small_groups: bool = False
+) -> DataFrame:
+    """Number of row pairs per group with Jaccard above the limit, copies included.
+
+    ``small_groups`` is the caller's word that a group is about as large as one exam set: then
+    shared elements are counted plainly. Else the prefix index is used; the result is the same.
+    """
+    sets = cut_lineage(weighted_sets(df, group, row_id, elements))
+    found = _shared_counts(sets, group, above) if small_groups else _pairs_of(sets, group, above)
+    across = found.select(*group, (F.col("left_copies") * F.col("right_copies")).alias("pairs"))
     own = sets.select(*group, (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("pairs"))
     return across.unionByName(own).groupBy(*group).agg(F.sum("pairs").alias("pairs"))
 

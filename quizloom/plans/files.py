@@ -27,10 +27,8 @@ def chapter_files(spark, sf):
     topics = F.transform(F.split("text", "\n"), lambda x: F.struct(F.col("source").alias("topic"), x.alias("notes")))
     path = scratch_path(spark, "chapters")
     IO.write_json_lines(d.select(F.lit("course").alias("course"), F.col("doc_id").cast("string").alias("chapter"), F.col("lang").alias("summary"), topics.alias("topics")), path)
-    docs = spark.read.schema(S.CHAPTER_CONTENT).json(path)
-    return docs.select(F.col("chapter").cast("bigint").alias("doc_id"), F.posexplode("topics").alias("place", "t")).select(
-        "doc_id", "place", F.md5("t.notes").alias("notes")
-    )
+    topics = IO.read_chapters(spark, path, lines=True)
+    return topics.select(F.col("chapter").cast("bigint").alias("doc_id"), "place", F.md5("notes").alias("notes"))
 
 
 @query(
@@ -101,14 +99,15 @@ def exported_questions(spark, sf):
     )
 
 
-@query("appended_log", with_(ITEMS_SQL, body="SELECT chapter, count(*) AS n FROM items WHERE validation_status <> 'approved' GROUP BY 1"))
+@query("appended_log", with_(ITEMS_SQL, body="SELECT id, created_epoch, chapter, validation_status AS validator_failed, md5(question) AS digest FROM items WHERE validation_status <> 'approved' ORDER BY created_epoch DESC, id DESC LIMIT 100"))
 def appended_log(spark, sf):
     bank = items(spark, sf)
     path = scratch_path(spark, "log")
     for status in ("rejected", "pending"):
         rows = bank.where(F.col("validation_status") == status).withColumns({"validator_failed": F.lit(status), "reason": F.lit("label")})
         IO.append_log(B.rejection_log(rows), path)
-    return spark.read.schema(S.VALIDATION_LOG).parquet(path).groupBy("chapter").agg(F.count("*").alias("n"))
+    log = B.newest_log(spark.read.schema(S.VALIDATION_LOG).parquet(path), 100)
+    return log.select("id", "created_epoch", "chapter", "validator_failed", F.md5("question_text").alias("digest"))
 
 
 @query("final_chunk_files")

@@ -17,9 +17,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_chapters(spark: SparkSession, path: str) -> DataFrame:
-    """One row per topic of every chapter file (whole-file JSON documents or JSON lines)."""
-    docs = spark.read.schema(S.CHAPTER_CONTENT).option("multiLine", True).json(path)
+def read_chapters(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per topic of every chapter: a file is one JSON document, or one a line."""
+    docs = spark.read.schema(S.CHAPTER_CONTENT).option("multiLine", not lines).json(path)
     return docs.select("course", "chapter", "summary", F.posexplode("topics").alias("place", "t")).select(
         "course", "chapter", "summary", "place", "t.topic", "t.notes"
     )

@@ -209,5 +209,5 @@ def test_leaks_of_a_hand_made_set(spark):
     got = {r.id: r.anchor for r in L.answer_leaks(df).collect()}
     # The one-character answer "p" lies in the fact Alt+P of another question.
     assert set(got) == {2, 4, 5, 6}
-    assert got[6] == "80" and got[4] == "lan"
+    assert got[6] == "80" and got[4] == "local area network"
     assert {r.id for r in L.answer_leaks(df, least_answer=2).collect()} == {2, 4, 6}
