@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quizloom.llm import language_id, ngram_join, packing, quality
 from quizloom.llm.common import read, saved
 
+#: A document is rejected if good quality is less probable than this: clean ones are to stay.
+LEAST_QUALITY = 0.3
 #: A document whose best language has a smaller share than this is rejected, as are texts without letters.
 SURE_LANGUAGE = 0.5
 
@@ -22,7 +24,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality stay."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
-    return scored.where(scored.score >= quality.KEEP_FROM).select(docs.columns)
+    return scored.where(scored.score >= LEAST_QUALITY).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,11 +183,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``df`` with these names are replaced; rows and their order of appearance stay.
     """
     spark = df.sparkSession
-    sent, version = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, version = spark.sparkContext.broadcast((model.langs, model.words, model.grams)), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def best(texts: pd.Series) -> pd.DataFrame:
-        scorer = kept_in_worker("language", lambda: Scorer(sent.value), version)
+        scorer = kept_in_worker("language", lambda: Scorer(Model(*sent.value)), version)
         return pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     named = df.drop("lang_pred", "score")

@@ -43,7 +43,7 @@ def text_view(text: str | None) -> list[float]:
         1.0,
         np.log1p(n),
         len(counted) / n,
-        max(counted.values()) / n,
+        (max(counted.values()) - 1) / n,
         sum(map(operator.eq, words, words[1:])) / n,
         signs / chars,
         min(1.0, signs / n),
