@@ -22,7 +22,7 @@ from .common import Memo, kept_in_worker
 
 #: White space as Unicode defines it; some engines also count the separators 1C to 1F.
 _SPACE = r"\t-\r\x85\p{Z}"
-_WORDS, _PIECES = 300_000, 400_000
+_WORDS, _PIECES = 800_000, 600_000
 
 
 class PrefixBpe:
