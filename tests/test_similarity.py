@@ -50,7 +50,8 @@ def test_fuzzy_first_match_equals_difflib(spark, seed, tile, monkeypatch):
     want = {}
     for i, s, t in rows:
         for j, s2, t2 in rows[:i]:
-            if s == s2 and SequenceMatcher(None, t.strip().lower(), t2.strip().lower()).ratio() >= 0.85:
+            # A row that has fallen flags nobody.
+            if s == s2 and j not in want and SequenceMatcher(None, t.strip().lower(), t2.strip().lower()).ratio() >= 0.85:
                 want[i] = j
                 break
     assert got == want and want
