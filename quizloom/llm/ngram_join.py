@@ -35,6 +35,7 @@ SENT_MEMBERS = 250_000
 _FLUSH_KEYS = 2_000_000
 _BLOCK = 1 << 20
 _GROWTH = 1.3
+_NO_CLASS = 255
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -123,21 +124,26 @@ def _keys(s: np.ndarray, percent: int, firsts: np.ndarray, segments: list[int])
         seg = seg[order]
         cut = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
         total = np.add.reduceat(_mix(s[order] ^ _BASE), cut)
-        out.append(_mix(total ^ _mix(seg[cut] + _one(1000 + k))))
+        out.append(_in_class(_mix(total ^ _mix(seg[cut] + _one(1000 + k))), k))
         upper = int(firsts[k + 1]) - 1
         slack = count - 1 - 2 * upper * (100 - percent) // (100 + percent)
         sparse |= count - len(cut) > slack
     if sparse:
-        out.append(_mix(s[: n - -(-percent * n // 100) + 1] + _one(7)))
+        out.append(_in_class(_mix(s[: n - -(-percent * n // 100) + 1] + _one(7)), _NO_CLASS))
     return np.concatenate(out)
 
 
+def _in_class(keys: np.ndarray, k: int) -> np.ndarray:
+    """Keys whose last byte names the size class they compare."""
+    return (keys & ~_U(255)) | _U(k)
+
+
 _SCHEMA = "bucket int, doc_id long, n int, d1 long, d2 long, keys binary, nodes binary"
 
 
 def _route(words: int, percent: int, buckets: int):
     """Task: per document its size and digests; per bucket one (key, node) a distinct key;
-    a link (d1, d2 with n = -1) where two documents of the task share a key."""
+    a link (d1, d2, n = -1 less the size class) where two documents of the task share a key."""
     table = _classes(percent)
     firsts, segments = np.array([x[0] for x in table]), [x[1] for x in table]
 
@@ -147,7 +153,8 @@ def _route(words: int, percent: int, buckets: int):
         head = np.concatenate(([True], keys[1:] != keys[:-1]))
         first = nodes[head][np.cumsum(head) - 1]
         link = nodes != first
-        pairs = np.unique(np.stack((nodes[link], first[link])), axis=1) if link.any() else np.empty((2, 0), _U)
+        ends = np.stack((nodes[link], first[link], keys[link] & _U(255)))
+        pairs = np.unique(ends, axis=1) if link.any() else np.empty((3, 0), _U)
         return keys[head], nodes[head], pairs
 
     def rows(bucket, doc=None, n=None, d1=None, d2=None, keys=None, nodes=None):
@@ -168,13 +175,13 @@ def _route(words: int, percent: int, buckets: int):
 
     def links(pairs):
         at = (_mix(pairs[0]) % _U(buckets)).astype(np.int32)
-        return rows(at, n=np.full(len(at), -1), d1=pairs[0].view(np.int64), d2=pairs[1].view(np.int64))
+        return rows(at, n=-1 - pairs[2].astype(np.int32), d1=pairs[0].view(np.int64), d2=pairs[1].view(np.int64))
 
     def flush(keys, nodes):
         keys, nodes, pairs = stars(np.concatenate(keys), np.concatenate(nodes))
         if pairs.shape[1]:
             yield links(pairs)
-        at = (keys % _U(buckets)).astype(np.int32)
+        at = ((keys >> _U(8)) % _U(buckets)).astype(np.int32)
         order = np.argsort(at, kind="stable")
         at, keys, nodes = at[order], keys[order], nodes[order]
         cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -400,8 +407,8 @@ def _merges(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
     return saved(rows.mapInArrow(_trees(words, percent), "a long, b long"), "merges")
 
 
-def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
-    found = labels.select(F.col("a").alias("comp"), F.col("b").alias("_to"))
+def _relabel(members: DataFrame, merges: DataFrame) -> DataFrame:
+    found = components(merges).select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
     return members.join(found, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
 
 
@@ -430,7 +437,13 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     classes = saved(
         sized.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes"
     )
-    families = components(routed.where("n = -1"), "d1", "d2").select(F.col("node").alias("d1"), F.col("comp").alias("family"))
+    # A document is a node of each size class it is compared in, so families do not chain through sizes.
+    in_class = lambda d: F.xxhash64(d, "n")
+    keyed = routed.where("n < 0")
+    families = components(keyed.select(in_class("d1").alias("a"), in_class("d2").alias("b")))
+    nodes = keyed.select("d1", "n").unionByName(keyed.select(F.col("d2").alias("d1"), "n")).distinct()
+    nodes = nodes.select("d1", in_class("d1").alias("node"))
+    families = families.join(nodes, "node").select("d1", F.col("comp").alias("family"))
     members = saved(
         classes.where("rep is not null").join(families, "d1").select("family", F.col("rep").alias("doc_id"), "n").distinct(),
         "members",
@@ -443,11 +456,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         .withColumn("comp", F.col("doc_id"))
     )
     one = placed.select(F.xxhash64("family", "part").alias("grp"), "doc_id", "comp", F.lit(0).alias("side"))
-    # A tree starts from single documents, so what it returns are their labels.
-    labels = _merges(docs, saved(one, "placed"), words, percent)
+    merges = _merges(docs, saved(one, "placed"), words, percent)
     if parts.where("parts > 1").head(1):
-        labels = _across_parts(docs, saved(placed.where("parts > 1"), "placed"), labels, words, percent)
-    comps = labels.select(F.col("a").alias("rep"), F.col("b").alias("component"))
+        merges = _across_parts(docs, saved(placed.where("parts > 1"), "placed"), merges, words, percent)
+    comps = components(merges).select(F.col("node").alias("rep"), F.col("comp").alias("component"))
     classes = classes.join(comps, "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )
@@ -460,9 +472,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     )
 
 
-def _across_parts(docs: DataFrame, big: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
-    """Labels with the links between the parts of large families."""
-    found = saved(_relabel(big, labels), "placed")
+def _across_parts(docs: DataFrame, big: DataFrame, merges: DataFrame, words: int, percent: int) -> DataFrame:
+    """``merges`` with the links between the parts of large families."""
+    found = saved(_relabel(big, merges), "placed")
     # A spread of members from all parts connects the large components with each other.
     some = found.where((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)) == 0) | (F.col("comp") == F.col("doc_id")))
     few = _parts(some.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("size"))).withColumnRenamed("parts", "few")
@@ -470,10 +482,7 @@ def _across_parts(docs: DataFrame, big: DataFrame, labels: DataFrame, words: int
         F.xxhash64("family", F.lit(-1), F.pmod(F.xxhash64("doc_id"), "few")).alias("grp"), "doc_id", "comp", F.lit(0).alias("side")
     )
     more = _merges(docs, saved(some, "spread"), words, percent)
-    joined = more
-    if few.where("few > 1").head(1):
-        joined = components(more).select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    found = saved(_relabel(found, joined), "placed")
+    found = saved(_relabel(found, more), "placed")
     # Now only documents outside the largest component of their family can add links.
     sizes = found.groupBy("family", "comp").agg(F.count("*").alias("docs"))
     main = sizes.groupBy("family").agg(F.max(F.struct("docs", "comp")).alias("top")).select("family", F.col("top.comp").alias("main"))
@@ -494,11 +503,7 @@ def _across_parts(docs: DataFrame, big: DataFrame, labels: DataFrame, words: int
         .select(tile, "doc_id", "comp", F.lit(0).alias("side"))
     )
     last = _merges(docs, saved(left.unionByName(right), "tiles"), words, percent)
-    if not more.unionByName(last).head(1):
-        return labels
-    linked = components(labels.join(big.select(F.col("doc_id").alias("a")), "a", "left_semi").unionByName(more).unionByName(last))
-    small = labels.join(big.select(F.col("doc_id").alias("a")), "a", "left_anti")
-    return small.unionByName(linked.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    return merges.unionByName(more).unionByName(last)
 
 
 def one_per_group(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
