@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Rows of a page, queries of a block, and the largest number of pivots.
-PAGE, QUERIES, PIVOTS = 2048, 1024, 1024
-_LEAF = 128
+PAGE, QUERIES, PIVOTS = 4096, 1024, 1024
+_LEAF = 512
 _EXACT = 2.0**50
 _NONE = -(2**63)
 
@@ -48,10 +48,10 @@ class MTree:
         return np.sqrt((d * d).sum(1) + (self.lift[rows] - self.lift[centre]) ** 2)
 
     def _node(self, rows: np.ndarray, parent: int | None):
-        """(leaf, rows or routing rows, their distances to the parent, radii, children)."""
+        """(vectors, their ids in a leaf, their distances to the parent, radii, children)."""
         away = self._distance(rows, parent) if parent is not None else np.zeros(len(rows))
         if len(rows) <= _LEAF:
-            return True, rows, away, None, None
+            return self.x[rows], self.ids[rows], away, None, None
         centres = rows[np.linspace(0, len(rows) - 1, min(32, -(-len(rows) // _LEAF) * 2)).astype(int)]
         near = np.stack([self._distance(rows, c) for c in centres])
         own = near.argmin(0)
@@ -63,7 +63,7 @@ class MTree:
         routing = np.array([c for c, _, _ in groups])
         radii = np.array([d.max() for _, _, d in groups])
         away = self._distance(routing, parent) if parent is not None else np.zeros(len(routing))
-        return False, routing, away, radii, [self._node(r, c) for c, r, _ in groups]
+        return self.x[routing], None, away, radii, [self._node(r, c) for c, r, _ in groups]
 
     def search(self, q: np.ndarray, own: int, k: int, least: int) -> list[tuple[int, int]]:
         """Up to ``k`` best (-score, id) with a score of ``least`` or more, ``own`` id left out."""
@@ -79,19 +79,26 @@ class MTree:
 
         todo, n = [(0.0, 0, self.root, None)], 0
         while todo:
-            low, _, (leaf, rows, away, radii, children), at = heapq.heappop(todo)
+            low, _, (vectors, ids, away, radii, children), at = heapq.heappop(todo)
             now = limit()
             if low > now:
                 break
-            room = now if leaf else now + radii
-            live = np.flatnonzero(np.abs(at - away) <= room) if at is not None else np.arange(len(rows))
-            if not len(live):
+            room = now if radii is None else now + radii
+            live = None if at is None else np.flatnonzero(np.abs(at - away) <= room)
+            if live is None or len(live) == len(away):
+                live = np.arange(len(away))
+                dots = vectors @ q
+            elif len(live):
+                dots = vectors[live] @ q
+            else:
                 continue
-            dots = self.x[rows[live]] @ q
-            if leaf:
-                floor = best[0][0] if len(best) == k else max(least, -np.inf)
-                for i in np.flatnonzero((dots >= floor) & (self.ids[rows[live]] != own)).tolist():
-                    hit = (int(dots[i]), -int(self.ids[rows[live[i]]]))
+            if ids is not None:
+                floor = best[0][0] if len(best) == k else least
+                for i in np.flatnonzero(dots >= floor).tolist():
+                    found = int(ids[live[i]])
+                    if found == own:
+                        continue
+                    hit = (int(dots[i]), -found)
                     if len(best) < k:
                         heapq.heappush(best, hit)
                     elif hit > best[0]:
