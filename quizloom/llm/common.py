@@ -35,6 +35,11 @@ def kept_in_worker(key: str, make, version: str = ""):
     return store[key][1]
 
 
+def drop_kept_in_worker() -> None:
+    """Free what earlier stages kept in this Python worker."""
+    sys.__dict__.pop("_kept_in_worker", None)
+
+
 class Memo(dict):
     """``fn`` remembered for up to ``limit`` arguments; then it starts anew."""
 

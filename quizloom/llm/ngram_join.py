@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, shuffle_width
+from .common import components, drop_kept_in_worker, saved, shuffle_width
 
 #: Documents and shingles of one tree.
 TREE_DOCS, TREE_SHINGLES = 8192, 4_000_000
@@ -190,6 +190,7 @@ def _route(words: int, percent: int, buckets: int):
         yield rows(at[cut], keys=[keys[i:j].tobytes() for i, j in spans], nodes=[nodes[i:j].tobytes() for i, j in spans])
 
     def first_half(batches):
+        drop_kept_in_worker()
         keys, nodes, held = [], [], 0
         for batch in batches:
             ids, size, d1, d2 = batch.column(0), [], [], []
