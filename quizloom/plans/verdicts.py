@@ -216,11 +216,11 @@ after AS (SELECT id, question_uuid, chapter, least(retry_count, 3) AS attempts,
 AFTER_CTES = (ITEMS_SQL, *SEMANTIC_CTES, AFTER_SQL)
 
 
-def _after(spark, sf):
+def _after(spark, sf, fuzzy=False):
     bank = vector_items(spark, sf)
     sem = D.semantic_duplicates(bank.where("validation_status <> 'approved'"), bank.where("validation_status = 'approved'"), ["exam_set"])
-    # The edit ratio has no SQL; its tiers run in ``rule_engine_with_fuzzy_tier``.
-    return QP.after_verdict(bank, classified(spark, sf), sem, fuzzy=False)
+    # The edit ratio has no SQL; the queries with SQL leave its tiers to those ``_with_fuzzy_tier``.
+    return QP.after_verdict(bank, classified(spark, sf), sem, fuzzy)
 
 
 @query("stage_chain", with_(*AFTER_CTES, body="SELECT id, failed_stage, attempts FROM after"))
@@ -233,9 +233,23 @@ def stage_chain(spark, sf):
     with_(*AFTER_CTES, body="SELECT question_uuid, chapter, split_part(failed_stage, ':', 1) AS validator_failed, substring(failed_stage, strpos(failed_stage, ':') + 1) AS reason FROM after WHERE failed_stage IS NOT NULL"),
 )
 def stage_rejections(spark, sf):
+    return _rejected(_after(spark, sf))
+
+
+@query("stage_chain_with_fuzzy_tier")
+def stage_chain_with_fuzzy_tier(spark, sf):
+    return _after(spark, sf, True).select("id", "failed_stage", "attempts")
+
+
+@query("stage_rejections_with_fuzzy_tier")
+def stage_rejections_with_fuzzy_tier(spark, sf):
+    return _rejected(_after(spark, sf, True))
+
+
+def _rejected(chain):
     from ..operators.bank import rejection_log
 
-    failed = _after(spark, sf).where("failed_stage IS NOT NULL").withColumns(
+    failed = chain.where("failed_stage IS NOT NULL").withColumns(
         {
             "validator_failed": F.substring_index("failed_stage", ":", 1),
             "reason": F.expr("substring(failed_stage, instr(failed_stage, ':') + 1)"),
