@@ -157,15 +157,16 @@ def _host(url: str = "url") -> Column:
 
 
 def _content(batches):
-    """Task: one row per host, style node, content and page; a page counts as its longest block, so copies
-    of a page count once."""
+    """Task: one row per host, style node, content and page; a page is known by all its nodes and texts, so
+    copies of a page count once."""
     for batch in batches:
         rows = set()
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blocks = blocks_of(html)
             if blocks:
-                page = _digest(max((b[1] for b in blocks), key=lambda s: (len(s), s)))
-                rows.update((host, node, _digest(said), page) for node, said, _ in blocks)
+                shown = [(node, _digest(said)) for node, said, _ in blocks]
+                page = xxhash.xxh64_intdigest(np.array(shown, np.int64).tobytes()) - 2**63
+                rows.update((host, node, said, page) for node, said in shown)
         cols = np.array(list(rows), np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([pa.array(cols[:, i].copy()) for i in range(4)], names=["host", "node", "content", "page"])
 

@@ -34,6 +34,18 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert all(got[100 + i].startswith("Sign up here\n\nText 7") for i in range(30))
 
 
+def test_a_long_notice_on_all_pages_leaves(spark):
+    notice = "This site is for information only and nobody answers for what it says. " * 5
+    page = "<body><div class=x>{}</div><div class=body><p>Text {} of its own</p></div><div class=y>Bye</div>"
+    rows = [(i, f"http://big.example/{i}", page.format(notice, i)) for i in range(12)]
+    rows += [(100 + i, f"http://small.example/{i}", page.format(notice, i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in X.main_text(df).collect()}
+    assert all(got[i] == f"Text {i} of its own" for i in range(12))
+    # too few different pages to judge
+    assert all(got[100 + i] == f"{notice.strip()}\n\nText {i} of its own\n\nBye" for i in range(7))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "plain <b>bold"), (3, "http://h", "<p>a<p"), (3, "http://h", "<p>a<p"), (4, "http://h", "<div>" * 3000 + "deep"),
             (5, "http://h", "<p>" + "word " * 100_000), (6, "http://h", "</p></div><li>x</ul>y<td>z"), (7, "http://h", "<nav>only")]
