@@ -54,20 +54,23 @@ def _digest(s: str) -> int:
 
 
 class Page(HTMLParser):
-    """Blocks of a page in order: (style node, text, region), region 2 in an article, 1 in main."""
+    """Blocks of a page in order: (style node, text, place).
+
+    A place is (in main, number of the outermost article or 0, in an article with a class of noise)."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # element, dropped, region
+        self.stack: list[tuple[str, bool, tuple]] = []  # element, dropped, place
+        self.articles = 0
         self.path: list[str] = []  # of the block elements on the stack
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, tuple]] = []
         self.text: list[str] = []
         self.feed(_CUT_TAG.sub("", html))
         self.close()
         self._flush()
 
-    def _state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def _state(self) -> tuple[bool, tuple]:
+        return self.stack[-1][1:] if self.stack else (False, (False, 0, False))
 
     def _flush(self):
         if self.text:
@@ -108,19 +111,22 @@ class Page(HTMLParser):
             self._close(("tr",), ("table",))
         elif tag in ("dt", "dd"):
             self._close(("dt", "dd"), ("dl",))
-        dropped, region = self._state()
+        dropped, place = self._state()
         named = {k: v or "" for k, v in attrs}
+        noise = False
         if not dropped:
             words = set(re.split(r"[^a-z]+", " ".join((named.get("class", ""), named.get("id", ""), named.get("role", ""))).lower()))
             hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-            dropped = tag in DROPPED or (tag not in _KEPT_WHATEVER_CLASS and (hidden or bool(words & NOISE_WORDS)))
+            noise = bool(words & NOISE_WORDS)
+            dropped = tag in DROPPED or (tag not in _KEPT_WHATEVER_CLASS and (hidden or noise))
         if tag in BLOCKS or tag in DROPPED:
             self._flush()
         if tag == "article":
-            region = 2
+            self.articles += 1
+            place = (place[0], place[1] or self.articles, place[2] or noise)
         elif tag == "main":
-            region = max(region, 1)
-        self.stack.append((tag, dropped, region))
+            place = (True, *place[1:])
+        self.stack.append((tag, dropped, place))
         if tag in BLOCKS:
             self.path.append(f"{tag}.{named.get('class', '')}")
 
@@ -143,11 +149,33 @@ class Page(HTMLParser):
             self.text.append(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[int, str, int]]:
-    """Blocks of the region that holds the main text: articles, else main, else the whole page."""
+def _chars(blocks) -> int:
+    return sum(len(said) for _, said, _ in blocks)
+
+
+def blocks_of(html: str | None) -> list[tuple[int, str, tuple]]:
+    """Blocks of the region that holds the main text.
+
+    Articles with a class of noise leave, unless all text is in such articles, or one alone holds more
+    than the rest, no other article has text, and neither has main but around it. Then text outside of main and the articles leaves if it is
+    shorter than main or than the longest article; else the whole page stays."""
     found = Page(html).blocks if html else []
-    region = max((r for _, _, r in found), default=0)
-    return [b for b in found if b[2] == region]
+    clean = [b for b in found if not b[2][2]]
+    if clean and len(clean) < len(found):
+        noisy = [b for b in found if b[2][2]]
+        in_main = noisy[0][2][0]
+        alone = len({b[2][1] for b in noisy}) == 1 and not any(b[2][1] or (b[2][0] and not in_main) for b in clean)
+        if not (alone and _chars(noisy) > _chars(clean)):
+            found = clean
+    outer = [b for b in found if not (b[2][0] or b[2][1])]
+    if outer and len(outer) < len(found):
+        sizes: dict = {}
+        for _, said, (main, article, _) in found:
+            for part in {("main", main), ("article", article)}:
+                sizes[part] = sizes.get(part, 0) + len(said) * bool(part[1])
+        if _chars(outer) < max(sizes.values()):
+            found = [b for b in found if b[2][0] or b[2][1]]
+    return found
 
 
 def _host(url: str = "url") -> Column:

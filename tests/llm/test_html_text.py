@@ -46,6 +46,23 @@ def test_a_long_notice_on_all_pages_leaves(spark):
     assert all(got[100 + i] == f"{notice.strip()}\n\nText {i} of its own\n\nBye" for i in range(7))
 
 
+def test_region_by_share_of_text():
+    said = lambda html: [b[1] for b in X.blocks_of(html)]
+    story = "<h1>Head</h1><p>The story itself</p>"
+    card = "<article class=\"related\"><p>A teaser card that is rather long, longer than the story</p></article>"
+    short = "<article class=\"related\"><p>A teaser</p></article>"
+    for page in (f"<main>{story}</main>{card}", f"<main>{story}{short}</main>", f"<div>{story}</div>{short}", f"<main>{story}{card}{short}</main>", f"<article>{story}{card}</article>", f"<article>{story}</article>{card}", f"<div>{story}</div>{card}{card}"):
+        assert said(page) == ["Head", "The story itself"]
+    # a teaser without a telling class does not hide the story
+    assert said(f"<div>{story}</div><article>Read on</article>") == ["Head", "The story itself", "Read on"]
+    assert said("<main>Skip</main><div>The story itself</div>") == ["Skip", "The story itself"]
+    assert said(f"<main><p>Lead</p><article>{story}</article></main>") == ["Lead", "Head", "The story itself"]
+    # short texts outside leave; an article of main text stays whatever its class
+    assert said(f"<div>Out</div><article>{story}</article><div>side</div>") == ["Head", "The story itself"]
+    assert said(f"<div>Out</div><article class=share>{story}</article>") == ["Head", "The story itself"]
+    assert said("<article class=share>a</article><article class=comments>b</article>") == ["a", "b"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "plain <b>bold"), (3, "http://h", "<p>a<p"), (3, "http://h", "<p>a<p"), (4, "http://h", "<div>" * 3000 + "deep"),
             (5, "http://h", "<p>" + "word " * 100_000), (6, "http://h", "</p></div><li>x</ul>y<td>z"), (7, "http://h", "<nav>only")]
