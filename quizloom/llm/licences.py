@@ -7,6 +7,8 @@ texts meet whole licences; each line of a text meets the notices of one line.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +74,27 @@ _STEPS = [
 ]
 
 
+# Where a text has no line breaks, a copyright statement ends with its sentence or before the grant.
+_COPYRIGHT_SENTENCE = (
+    "(?:copyright[ \t]*(?:\\(c\\)|\u00a9|[0-9])|\\(c\\)[ \t]*[0-9]|\u00a9|all rights reserved)(?:[^.]|\\.(?=\\S)|(?<=\\W[a-z])\\.){0,300}?"
+    "(?:(?<!\\W[a-z])\\.(?=\\s|$)|$|(?=\\b(?:permission|redistribution|all rights|licensed|released|distributed|this (?:software|work|program|is)|everyone|copyright[ \t]*(?:\\(c\\)|\u00a9|[0-9]))))"
+)
+# Canonical start of a notice; what follows is the name of a licence.
+_LEAD = (
+    "^(?:(?:this|the|our|all) (?:\\w+ ){1,3}?(?:is|are) )?(?:(?:dual )?(?:licensed|released|distributed|published|available|provided|covered|made available|free software) (?:under|by)"
+    "|spdx license identifier|license) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+)
+_MAY_NOTE = "(?i)licen[cs]|(?:released|distributed|published|available|provided|covered)\\s+(?:under|by)"
+#: Tables of whole licences up to this many rows are sent to all tasks; larger ones are joined.
+SENT_LICENCES = 50_000
+
+
 def canonical(text: Column) -> Column:
     """Canonical form; a null text is empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in _STEPS:
+    lines, sentence = _STEPS[0], _COPYRIGHT_SENTENCE
+    out = F.when(F.contains(out, F.lit("\n")), F.regexp_replace(out, *lines)).otherwise(F.regexp_replace(out, sentence, " "))
+    for pattern, to in _STEPS[1:]:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 
@@ -93,11 +112,19 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_licences(spark: SparkSession, rows=KNOWN) -> DataFrame:
-    """Digests of a short list of (licence, ``text`` or ``notice``, text)."""
+def known_licences(spark: SparkSession, rows=None) -> DataFrame:
+    """Digests of a list of (licence, ``text`` or ``notice`` or ``name``, text); by default the shipped table."""
+    if rows is None:
+        from .licence_table import rows as shipped
+
+        rows = shipped()
     df = spark.createDataFrame(rows, "licence string, kind string, text string")
     form = canonical(F.col("text"))
-    return df.select(digest(F.col("text")).alias("digest"), "licence", "kind", F.length(form).alias("size"), form.contains("license").alias("licensed"))
+    return df.select(digest(F.col("text")).alias("digest"), "licence", "kind", F.length(form).alias("size"), form.contains("license").alias("licensed"), F.when(F.col("kind") == "name", form).alias("name"))
+
+
+def _map(of: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(of)), "map<string,string>")
 
 
 def scan(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -114,16 +141,21 @@ def scan(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     whole = best.where("kind = 'text'").select("digest", "licence")
     # The notices are a short fixed list, looked up in place.
     notices = known.where("kind = 'notice' and size > 0").select("digest", "licence", "licensed").collect()
+    names = {r.name: r.licence for r in known.where("kind = 'name' and size > 0").select("name", "licence").orderBy(F.desc("licence")).collect()}
     found = {r.digest: r.licence for r in sorted(notices, key=lambda r: r.licence, reverse=True)}
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if found:
-        table = F.create_map(*[F.lit(x) for kv in found.items() for x in kv])
+    if found or names:
+        table = _map(found)
         lines = F.split("text", "\n")
-        if all(r.licensed for r in notices):  # then only lines with this word can be one of them
-            lines = F.filter(lines, lambda x: x.rlike("(?i)licen[cs]e"))
-        named = F.transform(lines, lambda x: F.try_element_at(table, digest(x)))
+        if all(r.licensed for r in notices):  # then only lines with this word, or with the lead of a name, can be one of them
+            lines = F.filter(lines, lambda x: x.rlike(_MAY_NOTE if names else "(?i)licen[cs]e"))
+        forms = F.transform(lines, canonical)
+        named = F.transform(forms, lambda x: F.try_element_at(table, F.sha2(x.cast("binary"), 256)))
+        if names:
+            led = F.filter(forms, lambda x: x.rlike(_LEAD))
+            named = F.concat(named, F.transform(led, lambda x: F.try_element_at(_map(names), F.regexp_replace(x, _LEAD, ""))))
         noted = F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), " ")
     else:
         noted = F.lit("")
     rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), noted.alias("notices"))
-    return rows.join(F.broadcast(whole), "digest", "left").select("doc_id", "digest", "licence", "notices")
+    return rows.join(F.broadcast(whole) if whole.count() <= SENT_LICENCES else whole, "digest", "left").select("doc_id", "digest", "licence", "notices")
