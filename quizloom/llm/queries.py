@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, fingerprint, html_text, language_id, licences, ngram_join, packing, quality, topk
+from . import alignment, byte_bpe, chat, collocations, fingerprint, html_text, language_id, licences, ngram_join, packing, quality, topk, warc
 from .common import read
 
 QUERIES = {}
@@ -140,3 +140,62 @@ FROM d LEFT JOIN k ON k.kind = 'text' AND k.digest = d.digest LEFT JOIN n ON n.d
 @query("op10_licence_scan", _licence_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
+
+
+_PHRASES_SQL = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+spelled AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+rows0 AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:], w[4:])) AS z FROM spelled),
+rows1 AS (SELECT lang, z[1] AS w, z[2] AS w2, z[3] AS w3, z[4] AS w4 FROM rows0),
+grams AS (
+  SELECT lang, k, CASE k WHEN 1 THEN w WHEN 2 THEN w || ' ' || w2 WHEN 3 THEN w || ' ' || w2 || ' ' || w3 ELSE w || ' ' || w2 || ' ' || w3 || ' ' || w4 END AS phrase
+  FROM rows1, range(1, 5) t(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM grams WHERE phrase IS NOT NULL GROUP BY lang, k, phrase),
+often AS MATERIALIZED (SELECT * FROM f WHERE n >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+sides AS MATERIALIZED (
+  SELECT lang, phrase, k, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail
+  FROM c JOIN range(1, 4) s(cut) ON cut < k),
+cuts AS (
+  SELECT s.lang, s.phrase, s.k, s.a, s.cut, x.n AS l, y.n AS r, CAST(CAST(2000000 AS HUGEINT) * s.a // (x.n + y.n) AS BIGINT) AS score
+  FROM sides s JOIN often x ON x.lang = s.lang AND x.phrase = s.head JOIN often y ON y.lang = s.lang AND y.phrase = s.tail),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS around FROM (
+    SELECT c.lang, c.a, array_to_string(c.w[i.i:i.i + s.k - 1], ' ') AS phrase
+    FROM c JOIN range(2, 4) s(k) ON s.k < c.k JOIN range(1, 4) i(i) ON i.i + s.k - 1 <= c.k) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inside i ON i.lang = low.lang AND i.phrase = low.phrase WHERE i.around IS NULL OR 100 * i.around < 80 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", _PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    both = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(read(spark, sf_dir, "documents"), *both)
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+k AS (SELECT *, strlen(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS kept FROM p)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM k
+"""
+
+
+@query("op13_warc", _WARC_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.captures(read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

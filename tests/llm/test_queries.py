@@ -12,7 +12,7 @@ SQL = queries.ORACLE
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     return con
 
@@ -26,7 +26,7 @@ def test_query_equals_sql(name, spark, duck):
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["op2_language_id", "op3_document_fingerprints", "op4_quality_classifier", "op5_byte_bpe"])
+@pytest.mark.parametrize("name", ["op2_language_id", "op3_document_fingerprints", "op4_quality_classifier", "op5_byte_bpe", "op12_tokenizer_alignment"])
 def test_one_row_per_document(name, spark):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     ids = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()]
@@ -35,5 +35,5 @@ def test_one_row_per_document(name, spark):
 
 def test_names():
     found = entry.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)) and "pipeline" in found
+    assert all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 14)) and "pipeline" in found
     assert set(entry.oracle_sql()) <= set(found)
