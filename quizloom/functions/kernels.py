@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from difflib import SequenceMatcher
-
 import numpy as np
 import pandas as pd
 
@@ -61,54 +58,3 @@ def common_subsequence(a: str, b: str) -> int:
         hit = row & where.get(ch, 0)
         row = ((row + hit) | (row - hit)) & mask
     return len(a) - row.bit_count()
-
-
-def ratio_at_least(limit: float, column: str = "txt"):
-    """Pairs whose ``difflib`` ratio (later text first, earlier text second) reaches the limit.
-
-    Three upper bounds of the ratio come first, cheapest first: lengths, shared
-    characters, longest common subsequence. None of them can lose a pair.
-    """
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        same = a is b
-        ta, tb = a[column].tolist(), b[column].tolist()
-        ka, kb = a["_order"].tolist(), b["_order"].tolist()
-        guests = "_guest" in a
-        if guests:
-            ga, gb = a["_guest"].to_numpy(dtype=bool), b["_guest"].to_numpy(dtype=bool)
-        letters = sorted(set().union(*ta, *tb))
-        place = {c: n for n, c in enumerate(letters)}
-
-        def histogram(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), len(letters)), dtype=np.int32)
-            for r, t in enumerate(texts):
-                for c, n in Counter(t).items():
-                    out[r, place[c]] = n
-            return out
-
-        ha, hb = histogram(ta), histogram(tb)
-        la, lb = ha.sum(axis=1), hb.sum(axis=1)
-        found = []
-        for r in range(len(ta)):
-            total = la[r] + lb
-            near = np.nonzero(2 * np.minimum(la[r], lb) >= limit * total - 1e-9)[0]
-            if same:
-                near = near[near > r]
-            if guests:
-                near = near[~(ga[r] & gb[near])]
-            if not len(near):
-                continue
-            shared = np.minimum(ha[r], hb[near]).sum(axis=1)
-            near = near[2 * shared >= limit * total[near] - 1e-9]
-            for c in near.tolist():
-                late, early = (ta[r], tb[c]) if ka[r] > kb[c] else (tb[c], ta[r])
-                both = len(late) + len(early)
-                if both and 2 * common_subsequence(late, early) < limit * both - 1e-9:
-                    continue
-                score = SequenceMatcher(None, late, early).ratio()
-                if score >= limit:
-                    found.append((r, c, score))
-        return pd.DataFrame(found, columns=["i", "j", "score"]).astype({"i": "int64", "j": "int64", "score": "float64"})
-
-    return compare

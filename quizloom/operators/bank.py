@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage
 from .ordered import row_numbers
+from .settle import first_of_keys
 
 PAGE_LIMIT = 200
 PART_ROWS = 1000
@@ -141,32 +141,28 @@ def to_option_list(bank: DataFrame) -> DataFrame:
 
 
 def new_rows(bank: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows that an insert row by row, in id order, would keep.
+    """Incoming rows that an insert row by row would keep, in order of id, uuid and hash.
 
     A row is kept if neither its uuid nor its content hash is in the bank or belongs to an
-    earlier kept row. Rows known to the bank go first, so they block nobody. Then rounds on the
-    keys alone: the open rows that are first of their uuid and of their hash are kept, and all
-    rows that share a key with them go. Firsts are found by aggregation, so a key shared by many
-    rows is no hot window. Of rows with one id one is kept.
+    earlier kept row; a null uuid is nobody's. Rows known to the bank go first, so they block nobody. Rows
+    of one id are rows of their own; of rows that have id, uuid and hash in common the one with the
+    smallest hash of the whole row is kept.
     """
-    keyed = incoming.withColumn("question_hash", X.content_hash(F.col("question")))
+    keys, order = ["question_uuid", "question_hash"], ["_at", "_uuid", "question_hash"]
+    own = [c for c in incoming.columns if c != "question_hash"]
+    keyed = incoming.withColumns(
+        {
+            "question_hash": X.content_hash(F.col("question")), "_uuid": F.coalesce("question_uuid", F.lit("")),
+            "_at": F.coalesce("id", F.lit(2**63 - 1)),  # rows without an id come last
+        }
+    )
+    one = F.min_by(F.struct(own), F.xxhash64(F.to_json(F.struct(own)))).alias("_row")
+    fresh = keyed.groupBy(*order).agg(one).select("_row.*", *order)
     known = bank.select("question_uuid", X.content_hash(F.col("question")).alias("question_hash"))
-    keys = ["question_uuid", "question_hash"]
-    fresh = keyed.dropDuplicates(["id"])
     for key in keys:
         fresh = fresh.join(known.select(key).distinct(), key, "left_anti")
-    open_rows, kept = cut_lineage(fresh.select("id", *keys)), None
-    while not open_rows.isEmpty():
-        firsts = open_rows
-        for key in keys:
-            least = open_rows.groupBy(key).agg(F.min("id").alias("id"))
-            firsts = firsts.join(least.select("id"), "id", "left_semi")
-        firsts = cut_lineage(firsts)
-        kept = firsts if kept is None else kept.unionByName(firsts)
-        for key in keys:
-            open_rows = open_rows.join(firsts.select(key), key, "left_anti")
-        open_rows = cut_lineage(open_rows)
-    return fresh.limit(0) if kept is None else fresh.join(kept.select("id"), "id", "left_semi")
+    kept = first_of_keys(fresh.select(*order, "question_uuid"), order, *keys)
+    return fresh.join(kept.select(order), order, "left_semi").drop("_uuid", "_at")
 
 
 def rejection_log(rejected: DataFrame) -> DataFrame:
@@ -259,6 +255,24 @@ def combined_header(bank: DataFrame, course: str = "course") -> DataFrame:
     ).withColumn("course", F.lit(course))
 
 
+def write_combined(bank: DataFrame, path: str, generated_at: Column | None = None, course: str = "course", part_rows: int = PART_ROWS) -> None:
+    """Combined export below ``path``: ``header`` (one JSON document with course, totals and ``generated_at``, an
+    aggregate of the bank, else the time of the call) and ``exam_sets`` (a folder a set, whose numbered parts hold its questions)."""
+    sizes = bank.groupBy("exam_set").agg(F.count("*").alias("n"), *([generated_at.alias("_at")] if generated_at is not None else []))
+    at = F.max("_at") if generated_at is not None else F.date_format(F.first(F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss")
+    head = sizes.agg(F.count("*").alias("total_sets"), F.min_by("n", "exam_set").alias("questions_per_set"), at.cast("string").alias("generated_at"))
+    head.withColumn("course", F.lit(course)).coalesce(1).write.json(f"{path}/header")
+    sets = set_documents(bank, course, part_rows).select(F.col("exam_set").alias("set_number"), "part", "n_parts", "questions")
+    sets.write.partitionBy("set_number").json(f"{path}/exam_sets")
+
+
+def read_combined(spark: SparkSession, path: str, questions: str = "q_no bigint, id bigint, question string") -> DataFrame:
+    """Parts of a combined export with its header on each: ``questions`` names the fields that are read."""
+    head = spark.read.schema("course string, total_sets bigint, questions_per_set bigint, generated_at string").json(f"{path}/header").first()
+    sets = spark.read.schema(f"set_number int, part int, n_parts int, questions array<struct<{', '.join(c.replace(' ', ': ', 1) for c in questions.split(', '))}>>")
+    return sets.json(f"{path}/exam_sets").withColumns({c: F.lit(head[c]) for c in head.__fields__})
+
+
 def shuffled(bank: DataFrame) -> DataFrame:
     """Reproducible order per set: by a hash of uuid and set, numbered from 1."""
     seeded = bank.withColumn("shuffle_key", X.stable_number("question_uuid", "exam_set"))

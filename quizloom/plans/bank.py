@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import bank as B
 from ..operators.ordered import batch_numbers, first_n, row_numbers
+from ..session import scratch_path
 from .catalog import query, with_
 from .items import ITEMS_SQL, items
 
@@ -188,6 +189,22 @@ def combined_header(spark, sf):
     return B.combined_header(items(spark, sf))
 
 
+@q(
+    "combined_export",
+    """SELECT 'course' AS course, (SELECT count(DISTINCT exam_set) FROM items) AS total_sets, (SELECT count(*) FROM items WHERE exam_set = 1) AS questions_per_set,
+ CAST((SELECT max(created_epoch) FROM items) AS VARCHAR) AS generated_at, exam_set AS set_number, CAST(0 AS INT) AS part, CAST(1 AS INT) AS n_parts, count(*) AS questions, md5(string_agg(question, '|' ORDER BY id)) AS digest
+ FROM items GROUP BY exam_set""",
+)
+def combined_export(spark, sf):
+    path = scratch_path(spark, "combined")
+    B.write_combined(items(spark, sf), path, F.max("created_epoch"))
+    texts = F.array_join(F.transform("questions", lambda x: x["question"]), "|")
+    return B.read_combined(spark, path).select(
+        "course", "total_sets", "questions_per_set", "generated_at", "set_number", "part", "n_parts",
+        F.size("questions").cast("bigint").alias("questions"), F.md5(texts).alias("digest"),
+    )
+
+
 @q("audit_batches", "SELECT id, exam_set, chapter_no, CAST(floor((rn - 1) / 25) AS INT) AS batch_no, CAST((rn - 1) % 25 + 1 AS INT) AS item_no FROM (SELECT *, row_number() OVER (PARTITION BY exam_set ORDER BY id) AS rn FROM items)")
 def audit_batches(spark, sf):
     return batch_numbers(items(spark, sf).select("id", "exam_set", "chapter_no"), ["exam_set"], "id", 25)

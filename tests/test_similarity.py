@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quizloom.functions import kernels as K
 from quizloom.functions import text as X
 from quizloom.operators import dedup as D
+from quizloom.operators import editjoin as E
 from quizloom.operators import leaks as L
 from quizloom.operators import setjoin as S
 from quizloom.operators import tiles as T
@@ -44,8 +45,7 @@ def test_fuzzy_first_match_equals_difflib(spark, seed, tile, monkeypatch):
     texts = _texts(seed)
     rows = [(i, i % 2, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id bigint, exam_set int, question string")
-    pairs = D.fuzzy_pairs
-    monkeypatch.setattr(D, "fuzzy_pairs", lambda t, b, limit: pairs(t, b, limit, tile))
+    monkeypatch.setattr(E, "TILE_ROWS", tile)
     got = {r.id: r.matched_id for r in D.fuzzy_first_match(df, ["exam_set"]).collect()}
     want = {}
     for i, s, t in rows:
