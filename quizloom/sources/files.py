@@ -40,11 +40,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
 
 
 def read_raw_chunks(spark: SparkSession, json_path: str, markdown_path: str) -> tuple[DataFrame, str]:
-    """Raw chunks from JSON lines if they exist, else from Markdown; the schema is the same."""
+    """Raw chunks from JSON lines if they exist, else from Markdown; the schema is the same.
+
+    Numbers restart in every Markdown file, so ``document`` (null for JSON lines) names the file a chunk is from.
+    """
     from ..operators.segment import heading_islands
 
     if exists(spark, json_path):
-        return read_json_lines(spark, json_path, S.RAW_CHUNK)[0], json_path.rsplit("/", 1)[-1]
+        chunks = read_json_lines(spark, json_path, S.RAW_CHUNK)[0]
+        return chunks.withColumn("document", F.lit(None).cast("string")), json_path.rsplit("/", 1)[-1]
     if not exists(spark, markdown_path):
         raise FileNotFoundError(f"neither {json_path} nor {markdown_path}")
     docs = spark.read.text(markdown_path, wholetext=True).select(
@@ -54,6 +58,7 @@ def read_raw_chunks(spark: SparkSession, json_path: str, markdown_path: str) ->
     chunks = heading_islands(docs).select(
         "id", "text", "book", "chapter", "content_type", "section",
         *[none.alias(n) for n in ("subsection", "question_no", "question_type", "term")],
+        F.regexp_extract("doc_id", "[^/]+$", 0).alias("document"),
     )
     return chunks, markdown_path.rsplit("/", 1)[-1]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quizloom import schemas
 from quizloom.operators import bank as B
 from quizloom.operators import rules as Q
+from quizloom.operators import segment as G2
 from quizloom.operators import slugs as G
 from quizloom.operators import vector as V
 from quizloom.sources import files as IO
@@ -63,6 +64,17 @@ def test_markdown_is_the_second_choice(spark, tmp_path):
     assert name == "b.md" and [(r.chapter, r.section) for r in chunks.orderBy("id").collect()] == [("One", ""), ("One", "Sub")]
 
 
+def test_chunks_of_two_markdown_files_have_ids_of_their_own(spark, tmp_path):
+    (tmp_path / "md").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "md" / f"{name}.md").write_text("## One\nthe same body\n")
+    chunks, name = IO.read_raw_chunks(spark, str(tmp_path / "none.jsonl"), str(tmp_path / "md"))
+    final = G2.chunk_metadata(G2.expand_chunks(chunks, name)).collect()
+    assert len(final) == 2 == len({r.id for r in final}) and sorted(r.document for r in chunks.collect()) == ["a.md", "b.md"]
+    one = G2.expand_chunks(chunks.drop("document").limit(1), name).first()
+    assert one.source_id == "md-00000"
+
+
 def test_chapter_files(spark, tmp_path):
     doc = {"course": "c", "chapter": "Ch", "summary": "s", "topics": [{"topic": "t1", "notes": "n1"}, {"topic": "t2", "notes": "n2"}]}
     (tmp_path / "one.json").write_text(json.dumps(doc, indent=2))
