@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import reference_values as R
 from ..functions import text as X
-from .vector import dot
+from .vector import DEFAULT_TOP_K, dot, metadata_filter, retrieve
 
 LEVELS = ("easy", "medium", "hard")
 
@@ -128,16 +129,38 @@ def pair_by_rank(passages: DataFrame, accepted: DataFrame, keys: list[str]) -> D
     return accepted.join(passages, [*keys, "place"])
 
 
-def with_fallback(slug_passages: DataFrame, wanted: DataFrame, cosine_passages: DataFrame, keys: list[str]) -> DataFrame:
-    """Slug passages; keys without any get the passages of the plain search."""
-    served = slug_passages.select(*keys).distinct()
-    missing = wanted.select(*keys).join(served, keys, "left_anti")
-    return slug_passages.unionByName(cosine_passages.join(missing, keys, "left_semi"))
+def unserved(slug_passages: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Wanted keys without any slug passage."""
+    return wanted.select(*keys).join(slug_passages.select(*keys).distinct(), keys, "left_anti")
+
+
+def fallback_passages(missing: DataFrame, asks: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, content_type: str = "content") -> DataFrame:
+    """Plain retrieval for sets and chapters (``exam_set``, ``chapter_no``) without slug passages.
+
+    A set asks with the seed phrase of its number: ``asks`` has ``chapter_no``, ``seed_no`` (from 0) and ``vec``. Only
+    rows of the chapter and of the content type (``corpus``: ``id``, ``vec``, ``text``, ``chapter_no``, ``content_type``) are
+    candidates, and the best are re-ranked. Sets that share chapter and seed share one search, and what no key
+    misses is not searched.
+    """
+    seeded = missing.withColumn("seed_no", F.pmod(F.col("exam_set") - 1, F.lit(len(R.SEED_PHRASES))).cast("int"))
+    needed = asks.join(seeded.select("chapter_no", "seed_no").distinct(), ["chapter_no", "seed_no"], "left_semi")
+    queries = needed.withColumn("query_id", (F.col("chapter_no") * len(R.SEED_PHRASES) + F.col("seed_no")).cast("bigint"))
+    found = retrieve(metadata_filter(corpus, content_type=content_type), queries, k, ["chapter_no"])
+    of = queries.select("query_id", "chapter_no", "seed_no")
+    return found.join(of, "query_id").join(seeded, ["chapter_no", "seed_no"]).select("exam_set", "chapter_no", "id", "score", "mmr_score", "place")
 
 
 def chunk_passages(chunks: DataFrame) -> DataFrame:
-    """Passage rows as the question writer expects them."""
+    """Passage rows as the question writer expects them; slug passages are not re-ranked, so both scores are one."""
+
+    def listed(name: str, *default: str) -> Column:
+        return F.coalesce(name, F.array(*[F.lit(d) for d in default]).cast("array<string>")).alias(name)
+
+    metadata = F.struct(
+        "text", F.col("chapter_id").alias("chapter"), F.coalesce("section_heading", F.lit("")).alias("section"), "topic_slug",
+        listed("bloom_levels", "remember"), listed("difficulty", "easy"), listed("keywords"),
+    )
     return chunks.select(
         "exam_set", "chapter_no", F.col("chunk_id").alias("id"), F.col("chunk_score").alias("score"),
-        F.struct("text", "topic_slug", "target_difficulty").alias("metadata"),
+        F.col("chunk_score").alias("mmr_score"), metadata.alias("metadata"),
     )

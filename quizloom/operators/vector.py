@@ -41,6 +41,39 @@ def metadata_filter(corpus: DataFrame, **conditions) -> DataFrame:
     return corpus
 
 
+def scan_best(batches: Iterator[pd.DataFrame], q: pd.DataFrame, k: int, block: list[str]) -> Iterator[pd.DataFrame]:
+    """Task: the ``k`` best rows of its batches for every query of the same block (``left_id``, ``right_id``, ``score``)."""
+    qm = K.matrix(q["vec"]) if len(q) else np.zeros((0, 0))
+    qid = q["query_id"].to_numpy()
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def groups(df: pd.DataFrame) -> dict[tuple, np.ndarray]:
+        """Places of the rows of each block; a batch is grouped once, however many blocks are asked for."""
+        if not block:
+            return {(): np.arange(len(df))}
+        found = df[block].reset_index(drop=True).groupby(block, sort=False).indices
+        return {v if isinstance(v, tuple) else (v,): at for v, at in found.items()}
+
+    asked = groups(q)
+    for pdf in batches:
+        if not len(pdf) or not len(q):
+            continue
+        cm, cid = K.matrix(pdf["vec"]), pdf["id"].to_numpy()
+        for value, mine in groups(pdf).items():
+            at = asked.get(value)
+            if at is None:
+                continue
+            s = np.round(qm[at] @ cm[mine].T, 6)
+            for row, n in enumerate(at):
+                old = best.get(n)
+                sc = s[row] if old is None else np.concatenate([old[0], s[row]])
+                ids = cid[mine] if old is None else np.concatenate([old[1], cid[mine]])
+                keep = K.best_rows(sc, ids, k)
+                best[n] = (sc[keep], ids[keep])
+    for n, (sc, ids) in best.items():
+        yield pd.DataFrame({"left_id": [qid[n]] * len(sc), "right_id": ids, "score": sc})
+
+
 def _scan_top_k(corpus: DataFrame, queries: DataFrame, k: int, block: list[str]) -> DataFrame:
     """Few queries: they travel to the corpus, which is scanned once and not shuffled."""
     local = queries.select(*block, "query_id", "vec").toPandas()
@@ -51,35 +84,7 @@ def _scan_top_k(corpus: DataFrame, queries: DataFrame, k: int, block: list[str])
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = sent.value
-        qm = K.matrix(q["vec"]) if len(q) else np.zeros((0, 0))
-        qid = q["query_id"].to_numpy()
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        groups = list(q.groupby(block, sort=False).indices.items()) if block else [((), np.arange(len(q)))]
-        for pdf in batches:
-            if not len(pdf) or not len(q):
-                continue
-            cm, cid = K.matrix(pdf["vec"]), pdf["id"].to_numpy()
-            for value, at in groups:
-                if block:
-                    value = value if isinstance(value, tuple) else (value,)
-                    mine = np.ones(len(pdf), dtype=bool)
-                    for name, v in zip(block, value):
-                        mine &= (pdf[name] == v).to_numpy()
-                    mine = np.nonzero(mine)[0]
-                else:
-                    mine = np.arange(len(pdf))
-                if not len(mine):
-                    continue
-                s = np.round(qm[at] @ cm[mine].T, 6)
-                for row, n in enumerate(at):
-                    old = best.get(n)
-                    sc = s[row] if old is None else np.concatenate([old[0], s[row]])
-                    ids = cid[mine] if old is None else np.concatenate([old[1], cid[mine]])
-                    keep = K.best_rows(sc, ids, k)
-                    best[n] = (sc[keep], ids[keep])
-        for n, (sc, ids) in best.items():
-            yield pd.DataFrame({"left_id": [qid[n]] * len(sc), "right_id": ids, "score": sc})
+        yield from scan_best(batches, sent.value, k, block)
 
     return corpus.select(*block, "id", "vec").mapInPandas(run, schema)
 

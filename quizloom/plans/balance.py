@@ -6,13 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import reference_values as R
+from ..functions import text as X
 from ..operators import balance as B
 from ..operators import slugs as G
 from ..operators.rules import structure_reason
+from ..session import cut_lineage
 from .catalog import query, with_
-from .items import ITEMS_SQL, blueprint_sql, items
+from .items import ITEMS_SQL, blueprint_sql, items, table
 from .rules import STRUCTURE_SQL
-from .vectors import ASK_CHAPTER_SQL, CORPUS_SQL, DSCORE, OPEN_SQL, POOL_SQL, chapter_questions, exam_sets, slug_pool
+from .segments import KEYWORDS_SQL
+from .vectors import ASK_CHAPTER_SQL, CORPUS_SQL, DSCORE, OPEN_SQL, POOL_SQL, chapter_questions, exam_sets, rerank_sql, slug_pool
 
 N_MIN = sum(b[1] for b in R.BLUEPRINT)
 SETS_SQL = "all_sets AS (SELECT DISTINCT CAST(floor(doc_id / 100) AS INT) + 1 AS exam_set FROM documents)"
@@ -227,11 +230,24 @@ def slug_retrieval(spark, sf):
     return _chunks(spark, sf).select("exam_set", "chapter_no", "topic_slug", "target_difficulty", "chunk_id", "chunk_score")
 
 
-@query("passage_rows", alloc("SELECT c.exam_set, c.chapter_no, chunk_id AS id, chunk_score AS score, md5(p.text) AS text_digest, c.topic_slug FROM chunks c JOIN pool p ON p.id = c.chunk_id", *SLUG_CTES, CHUNK_SQL))
+@query(
+    "passage_rows",
+    alloc(
+        """SELECT c.exam_set, c.chapter_no, chunk_id AS id, chunk_score AS score, chunk_score AS mmr_score, md5(p.text) AS text_digest, p.chapter_id AS chapter, p.source AS section, c.topic_slug,
+ CASE WHEN chunk_id % 2 = 0 THEN 'apply,analyze' ELSE 'remember' END AS bloom_levels, array_to_string(p.difficulty, ',') AS difficulty, w.keywords
+ FROM chunks c JOIN pool p ON p.id = c.chunk_id JOIN words9 w ON w.doc_id = c.chunk_id""",
+        *SLUG_CTES, CHUNK_SQL, f"words9 AS ({KEYWORDS_SQL})",
+    ),
+)
 def passage_rows(spark, sf):
-    with_text = _chunks(spark, sf).join(slug_pool(spark, sf).select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
-    return G.chunk_passages(with_text).select(
-        "exam_set", "chapter_no", "id", "score", F.md5("metadata.text").alias("text_digest"), "metadata.topic_slug"
+    levels = F.when(F.col("chunk_id") % 2 == 0, F.array(F.lit("apply"), F.lit("analyze")))
+    about = slug_pool(spark, sf).select(
+        F.col("id").alias("chunk_id"), "text", "chapter_id", F.col("source").alias("section_heading"), "difficulty", X.keywords(F.col("text")).alias("keywords")
+    )
+    chunks = _chunks(spark, sf).select("exam_set", "chapter_no", "topic_slug", "chunk_id", "chunk_score").join(about, "chunk_id")
+    return G.chunk_passages(chunks.withColumn("bloom_levels", levels)).select(
+        "exam_set", "chapter_no", "id", "score", "mmr_score", F.md5("metadata.text").alias("text_digest"), "metadata.chapter", "metadata.section", "metadata.topic_slug",
+        *[F.array_join(f"metadata.{c}", ",").alias(c) for c in ("bloom_levels", "difficulty", "keywords")],
     )
 
 
@@ -254,24 +270,34 @@ def chunks_marked_used(spark, sf):
     return G.mark_used(slug_pool(spark, sf), used).select("id", F.array_join(F.sort_array("used_in_sets"), ",").alias("used"), "q_count")
 
 
+# Chapter and seed phrase of a set's query; a vector of the table stands for their embedding.
+SEEDED_SQL = f"""ask AS MATERIALIZED (SELECT q.*, e.embedding AS vec FROM (SELECT CAST(c * {len(R.SEED_PHRASES)} + s AS BIGINT) AS query_id, CAST(c AS INT) AS chapter_no, CAST(s AS INT) AS seed_no FROM range(1, 10) a(c), range(0, {len(R.SEED_PHRASES)}) b(s)) q
+ JOIN embeddings e ON e.vec_id = q.query_id % (SELECT count(*) FROM embeddings)),
+unserved AS (SELECT s.exam_set, q.chapter_no FROM all_sets s, (SELECT DISTINCT chapter_no FROM ask) q
+ WHERE q.chapter_no = 8 OR NOT EXISTS (SELECT 1 FROM chunks k WHERE k.exam_set = s.exam_set AND k.chapter_no = q.chapter_no))"""
+
+
 @query(
     "passages_with_fallback",
     alloc(
-        f"""SELECT exam_set, chapter_no, chunk_id AS id, 'slug' AS origin FROM chunks WHERE chapter_no <> 8 UNION ALL
- SELECT s.exam_set, f.chapter_no, f.id, 'cosine' FROM all_sets s, (SELECT q.chapter_no, c.id, row_number() OVER (PARTITION BY q.chapter_no ORDER BY {DSCORE.replace('p.vec', 'c.vec')} DESC, c.id) AS r FROM ask9 q, corpus c) f
- WHERE f.r <= 8 AND (f.chapter_no = 8 OR NOT EXISTS (SELECT 1 FROM chunks k WHERE k.exam_set = s.exam_set AND k.chapter_no = f.chapter_no))""",
-        *SLUG_CTES, CHUNK_SQL,
+        f"""SELECT exam_set, chapter_no, chunk_id AS id, 'slug' AS origin, chunk_score AS score, round(chunk_score, 6) AS mmr_score FROM chunks WHERE chapter_no <> 8 UNION ALL
+ SELECT u.exam_set, u.chapter_no, p.id, 'cosine', p.score, p.mmr_score FROM unserved u JOIN ask q ON q.chapter_no = u.chapter_no AND q.seed_no = (u.exam_set - 1) % {len(R.SEED_PHRASES)} JOIN picked p ON p.query_id = q.query_id""",
+        *SLUG_CTES, CHUNK_SQL, SEEDED_SQL, rerank_sql(8, "c.label % 9 + 1 = q.chapter_no AND c.id % 5 <> 0"),
     ),
 )
 def passages_with_fallback(spark, sf):
-    from ..operators import vector as V
     from .vectors import corpus
 
     keys = ["exam_set", "chapter_no"]
     # Chapter 8 has no usable slug passages here, so that the plain search must serve it.
-    served = _chunks(spark, sf).where("chapter_no <> 8").select(*keys, F.col("chunk_id").alias("id"), F.lit("slug").alias("origin"))
-    wanted = _quotas(spark, sf).select(*keys)
-    asks = chapter_questions(spark, sf).select(F.col("chapter_no").alias("query_id"), "vec")
-    near = V.top_k(corpus(spark, sf), asks, 8).select(F.col("query_id").alias("chapter_no"), "id")
-    cosine = wanted.join(near, "chapter_no").select(*keys, "id", F.lit("cosine").alias("origin"))
-    return G.with_fallback(served, wanted, cosine, keys)
+    score = F.col("chunk_score")
+    served = _chunks(spark, sf).where("chapter_no <> 8").select(*keys, F.col("chunk_id").alias("id"), F.lit("slug").alias("origin"), score.alias("score"), score.alias("mmr_score"))
+    served = cut_lineage(served)  # read twice: to find what is missing, and for the result
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n, seeds = emb.count(), len(R.SEED_PHRASES)
+    asks = spark.range(1, len(R.BLUEPRINT) + 1).select(F.col("id").cast("int").alias("chapter_no"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed_no"))
+    asks = asks.withColumn("vec_id", (F.col("chapter_no") * seeds + F.col("seed_no")) % n).join(emb, "vec_id").drop("vec_id")
+    kind = F.when(F.col("id") % 5 == 0, "mcq").otherwise("content").alias("content_type")
+    rows = corpus(spark, sf).select("id", "vec", "text", (F.col("label") % 9 + 1).alias("chapter_no"), kind)
+    plain = G.fallback_passages(G.unserved(served, _quotas(spark, sf), keys), asks, rows)
+    return served.unionByName(plain.select(*keys, "id", F.lit("cosine").alias("origin"), "score", "mmr_score"))

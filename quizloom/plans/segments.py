@@ -216,7 +216,10 @@ _KW = f"""list_sort(list_distinct(list_concat(list_filter(list_concat(regexp_ext
 _ASCII = "regexp_replace(text, '[\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]', '_', 'g')"
 
 
-@query("keywords", f"SELECT doc_id, array_to_string({_KW}, ',') AS keywords FROM (SELECT doc_id, {_ASCII} AS text FROM documents)")
+KEYWORDS_SQL = f"SELECT doc_id, array_to_string({_KW}, ',') AS keywords FROM (SELECT doc_id, {_ASCII} AS text FROM documents)"
+
+
+@query("keywords", KEYWORDS_SQL)
 def keywords(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.keywords(F.col("text")), ",").alias("keywords"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import reference_values as R
 from ..functions import text as X
+from ..operators import cells as C
 from ..operators import vector as V
 from .catalog import query, with_
 from .items import ITEMS_SQL, items, table
@@ -54,10 +55,25 @@ def metadata_filter(spark, sf):
     return V.top_k(kept, passages(spark, sf), 3)
 
 
+
+def _index(spark, sf):
+    return C.build(corpus(spark, sf).drop("text"), ["label", "lang", "source"])
+
+
+@query("indexed_top_k_filtered", with_(CORPUS_SQL, QUERY_SQL, body=_topk_sql(5)))
+def indexed_top_k_filtered(spark, sf):
+    return C.search(_index(spark, sf), passages(spark, sf), 5, ["label"])
+
+
+@query("indexed_metadata_filter", with_(CORPUS_SQL, QUERY_SQL, body=_topk_sql(3, "TRUE", "c.lang = 'en' AND c.source IN ('src1', 'src2', 'src3')")))
+def indexed_metadata_filter(spark, sf):
+    return C.search(_index(spark, sf), passages(spark, sf), 3, lang="en", source=["src1", "src2", "src3"])
+
+
 _WORDS = f"list_filter(string_split_regex(lower(text), '{X.WS}+'), lambda w: w <> '')"
 
 
-def _rerank_sql(k: int, on: str) -> str:
+def rerank_sql(k: int, on: str) -> str:
     """Each step takes the candidate with the best 0.6 * score - 0.4 * largest overlap with those taken."""
     return f"""near AS MATERIALIZED (SELECT * FROM (SELECT q.query_id, c.id, c.text, {SCORE} AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {SCORE} DESC, c.id) AS INT) AS rank
  FROM ask q JOIN corpus c ON {on}) WHERE rank <= {V.CANDIDATES}),
@@ -75,14 +91,14 @@ steps(query_id, n, taken, mmr) AS (SELECT query_id, 1, [1], 0.6 * score FROM row
 picked AS (SELECT s.query_id, m.id, m.score, round(s.mmr, 6) AS mmr_score, CAST(s.n AS INT) AS place FROM steps s JOIN near m ON m.query_id = s.query_id AND m.rank = s.taken[s.n])"""
 
 
-@query("diversified_passages", with_(CORPUS_SQL, QUERY_SQL, _rerank_sql(V.DEFAULT_TOP_K, "TRUE"), body="SELECT * FROM picked"))
+@query("diversified_passages", with_(CORPUS_SQL, QUERY_SQL, rerank_sql(V.DEFAULT_TOP_K, "TRUE"), body="SELECT * FROM picked"))
 def diversified_passages(spark, sf):
     c = corpus(spark, sf)
     near = V.top_k(c, passages(spark, sf), V.CANDIDATES)
     return V.diversify(near.join(c.select("id", "text"), "id"))
 
 
-@query("retrieval", with_(CORPUS_SQL, QUERY_SQL, _rerank_sql(6, "q.label = c.label"), body="SELECT * FROM picked"))
+@query("retrieval", with_(CORPUS_SQL, QUERY_SQL, rerank_sql(6, "q.label = c.label"), body="SELECT * FROM picked"))
 def retrieval(spark, sf):
     return V.retrieve(corpus(spark, sf), passages(spark, sf), 6, ["label"])
 
