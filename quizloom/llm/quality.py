@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the classifier is fitted on (expected number: rows are taken by a hash of their
-#: id), labelled ones and the unlabelled pool together.
-SAMPLE_ROWS = 30_000
+from .common import drop_kept_in_worker
+
+#: Labelled documents that the classifier is fitted on, and documents of the unlabelled pool (expected
+#: numbers: rows are taken by a hash of their id; all of them, if there are fewer).
+LABELLED_ROWS, POOL_ROWS = 15_000, 15_000
 ROUNDS = 3
 #: A view hands on labels it gives at least this probability.
 SURE = 0.97
@@ -130,28 +132,36 @@ def fit(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def train(df: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Fit on a bounded sample of ``df`` (doc_id, text, source, lang, n_chars); labels without an
+    """Fit on a bounded sample of ``df`` (doc_id, text, source, lang, n_chars): labelled rows drawn from
+    the labels, however few documents have one, and a pool drawn from all documents. Labels without an
     id or a quality are left out, of several labels of a document the lowest counts."""
-    total = df.count()
-    share = F.lit(min(1.0, SAMPLE_ROWS / max(1, total)) * (1 << 20))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < share
-    marks = labels.where(chosen).where("doc_id is not null and quality is not null")
+
+    def drawn(share: float, seed: int):
+        return F.pmod(F.xxhash64("_label_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
+
+    marks = labels.where("doc_id is not null and quality is not null")
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.min("quality").cast("int").alias("_quality"))
-    rows = df.where(chosen & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text", "source", "lang", "n_chars")
+    marks = marks.where(drawn(min(1.0, LABELLED_ROWS / max(1, marks.count())), 1))
+    rows = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_label_id"), "text", "source", "lang", "n_chars")
+    # The drawn labels are about LABELLED_ROWS rows of two numbers, so they may go to every task.
+    rows = rows.join(F.broadcast(marks), "_label_id", "left")
+    pool = drawn(min(1.0, POOL_ROWS / max(1, df.count())), 2)
+    rows = rows.where(F.col("_quality").isNotNull() | pool).withColumn("_quality", F.coalesce("_quality", F.lit(-1)))
 
     def views(batches):
+        drop_kept_in_worker()
         for b in batches:
             yield pd.DataFrame(
                 {
-                    "_label_id": b["doc_id"],
+                    "_label_id": b["_label_id"],
                     "t": [text_view(x) for x in b["text"]],
                     "m": [meta_view(s, v, None if pd.isna(n) else int(n)) for s, v, n in zip(b["source"], b["lang"], b["n_chars"])],
+                    "y": b["_quality"],
                 }
             )
 
-    seen = rows.mapInPandas(views, "_label_id long, t array<double>, m array<double>")
-    got = seen.join(marks, "_label_id", "left").select("_label_id", "t", "m", F.coalesce("_quality", F.lit(-1)).alias("y"))
-    got = sorted(got.collect(), key=lambda r: (r[0], r.t))
+    seen = rows.mapInPandas(views, "_label_id long, t array<double>, m array<double>, y int")
+    got = sorted(seen.collect(), key=lambda r: (r[0], r.t))
     if not got:
         got = [(None, text_view(None), meta_view(None, None, None), -1)]
     return fit(np.array([r[1] for r in got]), np.array([r[2] for r in got]), np.array([r[3] for r in got]), rounds)
@@ -166,6 +176,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("p_text double, p_meta double, score double")
     def both(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        drop_kept_in_worker()
         xt = np.array([text_view(t) for t in text]).reshape(len(text), -1)
         xm = np.array([meta_view(s, v, None if pd.isna(n) else int(n)) for s, v, n in zip(source, lang, n_chars)]).reshape(len(text), -1)
         pt, pm, p = model.score(xt, xm)
