@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bank as B
+from ..operators import pages as P
 from ..operators.ordered import batch_numbers, first_n, row_numbers
 from ..session import scratch_path
 from .catalog import query, with_
@@ -74,6 +75,15 @@ def question_page(spark, sf):
     return B.page(B.filter_bank(items(spark, sf), difficulty="medium"), 2).select("id", "exam_set", "question", "correct_answer", "total")
 
 
+@q(
+    "question_page_by_counts",
+    "SELECT id, exam_set, question, correct_answer, (SELECT count(*) FROM items WHERE difficulty = 'medium') AS total FROM items WHERE difficulty = 'medium' ORDER BY exam_set, id LIMIT 50 OFFSET 50",
+)
+def question_page_by_counts(spark, sf):
+    stored = P.store(items(spark, sf).select("id", "exam_set", "question", "correct_answer", "difficulty"), ["exam_set", "difficulty"])
+    return stored.page(2, difficulty="medium").drop("difficulty")
+
+
 @q(
     "question_page_after_row",
     "SELECT id, exam_set FROM items WHERE exam_set > 1 OR (exam_set = 1 AND id > 60) ORDER BY exam_set, id LIMIT 50",
