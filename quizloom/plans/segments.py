@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import reference_values as R
@@ -207,6 +208,38 @@ def tagged_sections(spark, sf):
     )
 
 
+# A table of 1,080 rules made from the most frequent words: 120 a chapter, about the size of a real one.
+WORD_RULES = 1080
+_WIDE_SQL = f"""bc AS MATERIALIZED (SELECT *, {CH} AS chapter_id FROM bsec),
+rw AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS word FROM documents),
+rr AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS r FROM rw GROUP BY word),
+rules AS MATERIALIZED (SELECT 'ch' || (r % 9 + 1) AS chapter_id, r // 9 AS ordinal, CASE r % 3 WHEN 0 THEN word WHEN 1 THEN word || '.*tion' ELSE word || 's?e' END AS pattern, 'word_' || r AS slug FROM rr WHERE r < {WORD_RULES}),
+m1 AS (SELECT doc_id, section_no, arg_min(slug, ordinal) AS slug FROM bc JOIN rules USING (chapter_id) WHERE regexp_matches(section_heading, '(?i)' || pattern) GROUP BY ALL),
+m2 AS (SELECT doc_id, section_no, arg_min(slug, ordinal) AS slug FROM bc JOIN rules USING (chapter_id) WHERE regexp_matches(substring(text, 1, 300), '(?i)' || pattern) GROUP BY ALL)"""
+
+
+def word_rules(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("word"))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORD_RULES)
+    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1)
+    kind = F.col("r") % 3
+    return ranked.select(
+        F.concat(F.lit("ch"), (F.col("r") % 9 + 1).cast("string")).alias("chapter_id"), F.floor(F.col("r") / 9).cast("int").alias("ordinal"),
+        F.when(kind == 0, F.col("word")).when(kind == 1, F.concat("word", F.lit(".*tion"))).otherwise(F.concat("word", F.lit("s?e"))).alias("pattern"),
+        F.concat(F.lit("word_"), F.col("r").cast("string")).alias("slug"),
+        F.array(F.lit("apply")).alias("bloom_levels"), F.array(F.lit("medium")).alias("difficulty"),
+    )
+
+
+@query(
+    "tagged_sections_by_word_rules",
+    "WITH RECURSIVE " + BOOK_LINES + ",\n" + _WIDE_SQL + f" SELECT bc.doc_id, bc.section_no, coalesce(m1.slug, m2.slug, {_FALLBACK}) AS topic_slug FROM bc LEFT JOIN m1 USING (doc_id, section_no) LEFT JOIN m2 USING (doc_id, section_no)",
+)
+def tagged_sections_by_word_rules(spark, sf):
+    sections = S.book_sections(_book_text(spark, sf)).withColumn("chapter_id", F.concat(F.lit("ch"), (F.col("doc_id") % 9 + 1).cast("string")))
+    return S.tag_slugs(sections, word_rules(spark, sf)).select("doc_id", "section_no", "topic_slug")
+
+
 _STOP = ", ".join(f"'{w}'" for w in X.KEYWORD_STOP)
 _KW = f"""list_sort(list_distinct(list_concat(list_filter(list_concat(regexp_extract_all(text, '{X.KEYWORD_ACRONYM}'), regexp_extract_all(text, '{X.KEYWORD_NAME}')), lambda w: NOT list_contains([{_STOP}], w)),
  regexp_extract_all(text, '{X.KEYWORD_CTRL}'))))[1:8]"""
