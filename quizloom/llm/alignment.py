@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, saved
 
 #: Segments that a worker remembers.
-SEGMENTS = 150_000
+SEGMENTS = 250_000
 #: Bytes of text after which a block of documents ends (a longer document is a block).
 BLOCK_BYTES = 4 * 2**20
 _PAIR = 1 << 32
@@ -204,6 +204,27 @@ class Segments:
         self.spelled: list[str | None] = []
         self.pairs: list[np.ndarray] = []
         self.numbers: list[tuple[int, int, int, int, int]] = []
+        self.uses = np.zeros(0, np.int64)
+
+    def used(self, places: np.ndarray, times: np.ndarray) -> None:
+        """Count the occurrences of segments."""
+        self.uses = np.concatenate((self.uses, np.zeros(len(self.spelled) - len(self.uses), np.int64)))
+        self.uses[places] += times
+
+    def trim(self) -> None:
+        """Forget segments that occurred once, and the rarer ones of the others if they are still too many."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.limit // 2]])
+        now = np.full(len(self.spelled), -1, np.int64)
+        now[kept] = np.arange(len(kept))
+        now = now.tolist()
+        for name in ("plain", "rough"):
+            setattr(self, name, {t: now[p] for t, p in getattr(self, name).items() if p >= 0 and now[p] >= 0})
+        for name in ("spelled", "pairs", "numbers"):
+            values = getattr(self, name)
+            setattr(self, name, [values[i] for i in kept.tolist()])
+        self.uses = self.uses[kept]
 
     def _learn(self, texts: list[str], table: dict[str, int]) -> None:
         for start in range(0, len(texts), 2000):
@@ -247,7 +268,7 @@ class Segments:
     def places(self, texts: list[str | None]) -> list[list[int]]:
         """Places of the segments of each text."""
         if len(self.plain) + len(self.rough) > self.limit:
-            self.clear()
+            self.trim()
         plain = self.plain
         cut = [t.split(" ") if t else [] for t in texts]
         new = sorted({x for c in cut for x in c if x not in plain})
@@ -295,6 +316,7 @@ def block(known: Segments, ids: list, texts: list[str | None]) -> Block:
     pairs, local = np.unique(np.concatenate(own) if own else np.empty(0, np.int64), return_inverse=True)
     sizes = np.array(list(map(len, own)), np.int64)
     per_segment = np.bincount(at, weights=times, minlength=len(used))
+    known.used(used, per_segment.astype(np.int64))
     totals = np.bincount(local, weights=np.repeat(per_segment, sizes), minlength=len(pairs)).astype(np.int64)
     ends = np.searchsorted(doc, np.arange(len(placed) + 1)).tolist()
     at, times = at.astype("<i4"), times.astype("<i4")
