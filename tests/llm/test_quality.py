@@ -44,18 +44,18 @@ def test_odd_rows(spark):
 
 
 def test_few_labels_in_a_large_table(spark, monkeypatch):
-    """Labels are drawn from the labels, so their share of the documents does not matter."""
+    """Labels are drawn from the labels, so the same ones teach the same in a table six times as large."""
     monkeypatch.setattr(Q, "POOL_ROWS", 300)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     many = docs
     for k in range(1, 6):
         many = many.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000 * k))
-    seen = labels.where("doc_id % 3 = 0")
+    seen = labels.where("doc_id % 3 <> 0")
     out = Q.classify(many, seen).withColumn("base", F.col("doc_id") % 100_000).withColumnRenamed("quality", "got")
-    out = out.join(labels.where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "base"), "base")
+    out = out.join(labels.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "base"), "base")
     bad, good = out.agg(
         F.avg(F.when(F.col("quality") == 0, (F.col("got") == 0).cast("double"))),
         F.avg(F.when(F.col("quality") == 1, F.col("got").cast("double"))),
     ).first()
-    assert (bad + good) / 2 > 0.9
+    assert bad > 0.9 and good > 0.98
