@@ -1,18 +1,23 @@
 """Phrase collocations by Toivonen's sampling method.
 
 A sample of the documents proposes phrases that may be frequent. One pass over all documents then counts
-exactly every word and every phrase whose two parts (all words but the last, all but the first) were proposed: that is
+every word and every phrase whose two parts (all words but the last, all but the first) were proposed: that is
 the proposal with its negative border, the phrases outside of it whose parts lie inside. A
 border phrase that turns out frequent was missed by the sample: it joins the proposal, and a further pass counts only
 what the grown border adds, until nothing frequent lies outside. A phrase cannot be
 more frequent than its parts, so at most as many passes as words in a phrase are needed.
 
-The proposal is kept as a Bloom filter of fixed size. What it takes for proposed by mistake is counted like
-the rest, so the counts stay exact; a filter that fills up prunes less and loses nothing.
+These passes count 64-bit hashes of phrases, which tasks exchange as blocks of numbers: two phrases of one hash can only look
+too frequent. A last pass spells the phrases that reached the count and counts them exactly.
+The proposal is kept as a Bloom filter of bounded size. What it takes for proposed by mistake is counted like
+the rest; a filter that fills up prunes less and loses nothing.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,15 +33,15 @@ LEAST_COUNT = 30
 SAMPLE_PART = 8
 #: Share of the count expected in the sample that is enough to be proposed.
 CAUTION = 0.6
-#: Bits of the filter.
-BITS = 1 << 27
+#: Bits of the filter: about 16 for each proposed phrase, between these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 TOP = 2000
 
 #: Words after which a task passes its counts on.
 _FLUSH = 2_000_000
 _BREAK = b"\xff"
-_SCHEMA = "lang string, words int, phrase string, hash long, n long"
-_ARROW = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
+_SCHEMA = "lang string, words int, phrase string, n long"
+_ARROW = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def _folded() -> bytes:
@@ -80,7 +85,7 @@ def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether the filter holds both bits of each hash."""
     out = np.ones(len(h), bool)
     for at in (h, h >> np.uint64(32)):
-        at = at & np.uint64(BITS - 1)
+        at = at & np.uint64(64 * len(bits) - 1)
         out &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return out
 
@@ -142,84 +147,139 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """Filter that holds the column ``hash``: Spark joins the bits of each 64-bit word, at most ``BITS`` / 64 rows."""
-    ends = F.array(*[h.bitwiseAND(F.lit(BITS - 1)) for h in (F.col("hash"), F.shiftrightunsigned("hash", 32))])
+def _bits(hashes: DataFrame, size: int) -> np.ndarray:
+    """Filter of ``size`` bits that holds the column ``hash``: Spark joins the bits of each 64-bit word, at most ``size`` / 64 rows."""
+    ends = F.array(*[h.bitwiseAND(F.lit(size - 1)) for h in (F.col("hash"), F.shiftrightunsigned("hash", 32))])
     each = hashes.select(F.explode(ends).alias("bit"))
     one = F.expr("shiftleft(1L, int(bit & 63))")
     table = each.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     if table.num_rows:
         out[table["at"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _proposal(docs: DataFrame, least: int) -> np.ndarray:
-    """Phrases short enough to be part of another that are frequent in the sample."""
+def _size(phrases: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * phrases).bit_length()))
 
-    def run(batches):
-        for words, held in _parts(batches):
-            for lang, ids in held.items():
-                for n, _, h in _levels(ids, _hashed(words, lang, ids), None):
-                    if n < LONGEST:
-                        values, counts = np.unique(h, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PART)) == 0)
-    counts = _texts(sample).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    enough = max(1, int(least / SAMPLE_PART * CAUTION))
-    return _bits(counts.where(F.col("n") >= enough).select("hash"))
+def _packed(bits: np.ndarray | None) -> bytes | None:
+    return None if bits is None else zlib.compress(bits.tobytes(), 1)
 
 
-def _counted(docs: DataFrame, new: np.ndarray, old: np.ndarray | None) -> DataFrame:
-    """Exact counts (``lang, words, phrase, hash, n``) of words and of what ``new`` proposes with its border; if there
-    is an ``old`` proposal, only of phrases that it did not count. A row with no words has a language's sum of words."""
-    sent = docs.sparkSession.sparkContext.broadcast((new, old))
+def _unpacked(data: bytes | None) -> np.ndarray | None:
+    return None if data is None else np.frombuffer(zlib.decompress(data), np.uint64)
 
-    def run(batches):
-        new, old = sent.value
+
+_BLOCK = pa.schema([("part", pa.int32()), ("inner", pa.bool_()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h, which = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
+    n = np.bincount(which, weights=np.frombuffer(b"".join(counts), np.int64), minlength=len(h))
+    return h, n.astype(np.int64)
+
+
+def _counted(docs: DataFrame, new: np.ndarray | None, old: np.ndarray | None, least: int, longest: int = LONGEST) -> DataFrame:
+    """Hashes of phrases with a count of ``least`` or more (``hash``, ``inner``: short enough to be part of another), of
+    words and of what ``new`` proposes with its border (all phrases, if it is none); if there is an ``old`` proposal, only of phrases that it did not count."""
+    spark = docs.sparkSession
+    sent, parts = spark.sparkContext.broadcast((_packed(new), _packed(old))), shuffle_width(spark)
+
+    def count(batches):
+        new, old = map(_unpacked, sent.value)
         for words, held in _parts(batches):
-            names = pa.array(words + [b""], pa.binary()).cast(pa.string())
+            found = {True: [], False: []}
             for lang, ids in held.items():
                 h = _hashed(words, lang, ids)
                 before = _levels(ids, h, old) if old is not None else None
-                for n, at, hashes in _levels(ids, h, new):
+                for n, at, hashes in itertools.islice(_levels(ids, h, new), longest):
                     if before is not None:
                         seen = np.zeros(len(ids), bool)
                         seen[next(before)[1]] = True
-                        fresh = ~seen[at]
-                        at, hashes = at[fresh], hashes[fresh]
-                    if not len(at):
-                        continue
-                    first, counts = _grouped([ids[at + i] for i in range(n)], len(words))
-                    place = at[first]
-                    phrase = pc.binary_join_element_wise(*[names.take(pa.array(ids[place + i])) for i in range(n)], " ") if n > 1 else names.take(pa.array(ids[place]))
-                    for start in range(0, len(place), 100_000):
-                        part = slice(start, start + 100_000)
-                        size = len(place[part])
-                        columns = [[lang] * size, np.full(size, n, np.int32), phrase[part], hashes[first[part]].view(np.int64), counts[part]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
-                    if n == 1 and old is None:
-                        yield pa.RecordBatch.from_pylist([{"lang": lang, "words": 0, "n": int(counts.sum())}], schema=_ARROW)
+                        hashes = hashes[~seen[at]]
+                    found[n < LONGEST].append(hashes)
+            for inner, lists in found.items():
+                if not lists:
+                    continue
+                h, n = np.unique(np.concatenate(lists), return_counts=True)
+                # Hashes are in order, so a part of their range is a slice.
+                cuts = np.searchsorted(h, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).tolist()
+                spans = [(p, i, j) for p, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(h)])) if i < j]
+                columns = [[p for p, _, _ in spans], [inner] * len(spans), [h[i:j].tobytes() for _, i, j in spans], [n[i:j].astype(np.int64).tobytes() for _, i, j in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK.types)], schema=_BLOCK)
+
+    def add(batches):
+        """A task has whole parts of the range, so it sees every count of its hashes."""
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for part, inner, h, n in zip(*(c.to_pylist() for c in batch.columns)):
+                h_list, n_list = held.setdefault((part, inner), [[], []])
+                h_list.append(h)
+                n_list.append(n)
+                if sum(map(len, h_list)) > 1 << 25:
+                    held[part, inner] = [[x.tobytes()] for x in _summed(h_list, n_list)]
+        for (_, inner), lists in held.items():
+            h, n = _summed(*lists)
+            h = h[n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), inner))], names=["hash", "inner"])
+
+    blocks = _texts(docs).mapInArrow(count, "part int, inner boolean, hashes binary, counts binary")
+    out = saved(blocks.repartition(parts, "part").mapInArrow(add, "hash long, inner boolean"), "frequent")
+    sent.destroy()
+    return out
 
-    rows = _texts(docs).mapInArrow(run, _SCHEMA)
-    return rows.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n"))
 
+def _proposal(docs: DataFrame, least: int) -> np.ndarray:
+    """Phrases short enough to be part of another that are frequent in the sample."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PART)) == 0)
+    proposed = _counted(sample, None, None, max(1, int(least / SAMPLE_PART * CAUTION)), LONGEST - 1).select("hash")
+    return _bits(proposed, _size(proposed.count()))
 
-def _missed(counts: DataFrame, bits: np.ndarray) -> np.ndarray | None:
+
+def _missed(frequent: DataFrame, bits: np.ndarray) -> np.ndarray | None:
     """The filter of frequent phrases outside of the proposal; None if there are none."""
-    sent = counts.sparkSession.sparkContext.broadcast(bits)
+    sent = frequent.sparkSession.sparkContext.broadcast(_packed(bits))
 
     def outside(batches):
+        held = _unpacked(sent.value)
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[~_known(sent.value, h.view(np.uint64))])], names=["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[~_known(held, h.view(np.uint64))])], names=["hash"])
 
-    parts = counts.where((F.col("words") > 0) & (F.col("words") < LONGEST)).select("hash")
-    found = _bits(parts.mapInArrow(outside, "hash long"))
+    found = _bits(frequent.where("inner").select("hash").mapInArrow(outside, "hash long"), 64 * len(bits))
+    sent.destroy()
     return found if found.any() else None
 
 
+def _spelled(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """Exact counts (``lang, words, phrase, n``) of the phrases whose hashes the filter holds, from ``least`` on; a row with 0
+    words and no phrase has a language's sum of words. The filter holds the parts of every phrase that counts."""
+    sent = docs.sparkSession.sparkContext.broadcast(_packed(bits))
+
+    def run(batches):
+        held_bits = _unpacked(sent.value)
+        for words, held in _parts(batches):
+            names = pa.array(words + [b""], pa.binary()).cast(pa.string())
+            for lang, ids in held.items():
+                total = int((ids >= 0).sum())
+                yield pa.RecordBatch.from_pylist([{"lang": lang, "words": 0, "n": total}], schema=_ARROW)
+                for n, at, hashes in _levels(ids, _hashed(words, lang, ids), held_bits):
+                    at = at[_known(held_bits, hashes)]
+                    if not len(at):
+                        continue
+                    first, counts = _grouped([ids[at + i] for i in range(n)], len(words))
+                    place = at[first]
+                    each = [names.take(pa.array(ids[place + i])) for i in range(n)]
+                    columns = [[lang] * len(place), np.full(len(place), n, np.int32), pc.binary_join_element_wise(*each, " "), counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
+
+    counts = _texts(docs).mapInArrow(run, _SCHEMA).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    counts = saved(counts.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    sent.destroy()
+    return counts
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """``lang, words, phrase, n`` of all phrases of 1 to ``LONGEST`` words that occur ``least`` times or more in a
     language, and a row with 0 words and no phrase for each language with its number of words.
@@ -227,14 +287,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     Everything is counted in all documents; the sample only decides how many passes that takes.
     """
     bits, old, found = _proposal(docs, least), None, None
-    while True:
-        counts = _counted(docs, bits, old).where((F.col("n") >= least) | (F.col("words") == 0))
-        counts = saved(counts, "phrases")
-        found = counts if found is None else found.unionByName(counts)
-        more = _missed(counts, bits)
-        if more is None:
-            return found.drop("hash")
-        bits, old = bits | more, bits
+    while bits is not None:
+        frequent = _counted(docs, bits, old, least)
+        found = frequent if found is None else found.unionByName(frequent)
+        more = _missed(frequent, bits)
+        bits, old = (bits | more if more is not None else None), bits
+    return _spelled(docs, _bits(found.select("hash"), _size(found.count())), least)
 
 
 def _words(first: Column, count: Column) -> Column:
