@@ -38,7 +38,7 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 TOP = 2000
 
 #: Words after which a task passes its counts on.
-_FLUSH = 2_000_000
+_FLUSH = 1_500_000
 _BREAK = b"\xff"
 _SCHEMA = "lang string, words int, phrase string, n long"
 _ARROW = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -139,7 +139,9 @@ def _parts(batches):
 def _hashed(words: list[bytes], lang: str, ids: np.ndarray) -> np.ndarray:
     """Hash of each place's word in its language (0 at breaks)."""
     seed = xxhash.xxh64_intdigest(lang.encode(errors="replace")) & 0xFFFFFFFF
-    table = np.array([xxhash.xxh64_intdigest(w, seed) for w in words] + [0], np.uint64)
+    table = np.zeros(len(words) + 1, np.uint64)
+    used = np.flatnonzero(np.bincount(ids[ids >= 0], minlength=len(words)))
+    table[used] = np.array([xxhash.xxh64_intdigest(words[i], seed) for i in used.tolist()], np.uint64)
     return table[ids]
 
 
