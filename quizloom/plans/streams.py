@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.files import is_folder
 from ..streaming import acceptance as A
 from .bank import HASH
 from .catalog import query
@@ -12,8 +13,10 @@ from .items import table
 
 
 def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream of files, be it one file or a folder of files."""
+    schema, path = table(spark, sf, name).schema, f"{sf}/{name}.parquet"
+    stream = spark.readStream.schema(schema)
+    return stream.parquet(path) if is_folder(spark, path) else stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query("stream_acceptance", f"SELECT min(doc_id) AS id, {HASH} AS question_hash FROM (SELECT doc_id, text AS question FROM documents) GROUP BY 2")

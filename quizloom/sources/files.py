@@ -10,11 +10,19 @@ from .. import schemas as S
 from ..operators.bank import answer_key_documents, set_documents
 
 
+def _status(spark: SparkSession, path: str, ask: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return getattr(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), ask)(p)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there such a path on whatever file system it names?"""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _status(spark, path, "exists")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Is there such a path, and is it a folder?"""
+    return _status(spark, path, "isDirectory")
 
 
 def read_chapters(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

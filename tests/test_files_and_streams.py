@@ -11,6 +11,7 @@ from quizloom.operators import rules as Q
 from quizloom.operators import segment as G2
 from quizloom.operators import slugs as G
 from quizloom.operators import vector as V
+from quizloom.plans import streams as P
 from quizloom.sources import files as IO
 from quizloom.streaming import acceptance as A
 
@@ -131,3 +132,13 @@ def test_distractor_limits(spark):
     )
     got = {r.id: r.reason for r in V.distractor_reason(V.distractor_scores(bank, vectors, ["sequence_order"])).collect()}
     assert got == {1: "option_3_distant", 2: "option_1_too_close"}
+
+
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    docs = [(i, f"text {i % 5}") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(i, i, [float(i)]) for i in range(7)]
+    spark.createDataFrame(vectors, "vec_id bigint, label int, embedding array<float>").repartition(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(r.id for r in P.stream_acceptance(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4]
+    got = {(r.namespace, r.id) for r in P.stream_vector_registry(spark, str(tmp_path)).collect()}
+    assert got == {(f"set{i % 3}", i) for i in range(7)}
