@@ -3,9 +3,10 @@
 A sample of the documents proposes phrases that may be frequent. One pass over all documents then counts
 every word and every phrase whose two parts (all words but the last, all but the first) were proposed: that is
 the proposal with its negative border, the phrases outside of it whose parts lie inside. A
-border phrase that turns out frequent was missed by the sample: it joins the proposal, and a further pass counts only
-what the grown border adds, until nothing frequent lies outside. A phrase cannot be
-more frequent than its parts, so at most as many passes as words in a phrase are needed.
+border phrase that turns out frequent was missed by the sample: it joins the proposal, and a second pass counts only
+what the grown border adds. There a phrase that the first pass did not count is taken for proposed, so its extensions are counted at
+once: a phrase cannot be more frequent than its parts, and each part of a frequent one was either counted in the first pass, and so is
+proposed by now, or is new in the second. Two passes thus always find all.
 
 These passes count 64-bit hashes of phrases, which tasks exchange as blocks of numbers: two phrases of one hash can only look
 too frequent. A last pass spells the phrases that reached the count and counts them exactly.
@@ -102,22 +103,34 @@ def _grouped(columns: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
     return first, counts
 
 
-def _levels(ids: np.ndarray, h: np.ndarray, bits: np.ndarray | None):
+def _levels(ids: np.ndarray, h: np.ndarray, bits: np.ndarray | None, old: np.ndarray | None = None):
     """For each number of words: places where such a phrase is proposed or on the border, and
-    the phrases' hashes there. Without a filter every phrase counts. ``ids`` is -1 at breaks."""
+    the phrases' hashes there. Without a filter every phrase counts. ``ids`` is -1 at breaks.
+
+    With an ``old`` filter only places that it did not reach are given, and phrases there are taken for proposed."""
+    before = _levels(ids, h, old) if old is not None else None
     inside = ids >= 0
     held = inside if bits is None else inside & _known(bits, h)
-    yield 1, np.flatnonzero(inside), h[inside]
+    if before is None:
+        yield 1, np.flatnonzero(inside), h[inside]
+    else:
+        next(before)  # all words were counted
+        yield 1, np.empty(0, np.int64), h[:0]
     whole = h
     for words in range(2, LONGEST + 1):
         at = np.flatnonzero(held[:-1] & held[1:])
         # The hash of the phrase without its last word stands at its place in ``whole``.
         longer = _mixed(whole[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + words - 1])
-        yield words, at, longer
+        new = np.ones(len(at), bool)
+        if before is not None:
+            seen = np.zeros(len(ids), bool)
+            seen[next(before)[1]] = True
+            new = ~seen[at]
+        yield words, at[new], longer[new]
         whole = np.zeros(len(h), np.uint64)
         whole[at] = longer
         held = np.zeros(len(ids), bool)
-        held[at] = True if bits is None else _known(bits, longer)
+        held[at] = True if bits is None else _known(bits, longer) | (new if before is not None else False)
 
 
 def _parts(batches):
@@ -194,12 +207,7 @@ def _counted(docs: DataFrame, new: np.ndarray | None, old: np.ndarray | None, le
             found = {True: [], False: []}
             for lang, ids in held.items():
                 h = _hashed(words, lang, ids)
-                before = _levels(ids, h, old) if old is not None else None
-                for n, at, hashes in itertools.islice(_levels(ids, h, new), longest):
-                    if before is not None:
-                        seen = np.zeros(len(ids), bool)
-                        seen[next(before)[1]] = True
-                        hashes = hashes[~seen[at]]
+                for n, _, hashes in itertools.islice(_levels(ids, h, new, old), longest):
                     found[n < LONGEST].append(hashes)
             for inner, lists in found.items():
                 if not lists:
@@ -288,12 +296,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
 
     Everything is counted in all documents; the sample only decides how many passes that takes.
     """
-    bits, old, found = _proposal(docs, least), None, None
-    while bits is not None:
-        frequent = _counted(docs, bits, old, least)
-        found = frequent if found is None else found.unionByName(frequent)
-        more = _missed(frequent, bits)
-        bits, old = (bits | more if more is not None else None), bits
+    bits = _proposal(docs, least)
+    found = _counted(docs, bits, None, least)
+    more = _missed(found, bits)
+    if more is not None:
+        found = found.unionByName(_counted(docs, bits | more, bits, least))
     return _spelled(docs, _bits(found.select("hash"), _size(found.count())), least)
 
 

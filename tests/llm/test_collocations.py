@@ -93,3 +93,12 @@ def test_score_beyond_64_bits(spark):
     found = spark.createDataFrame([("en", 1, "a", big + 5), ("en", 1, "b", big + 7), ("en", 2, "a b", big)], "lang string, words int, phrase string, n long")
     row = C.scored(found).collect()[0]
     assert row.score == 2000000 * big // (2 * big + 12) and (row.l, row.r) == (big + 5, big + 7)
+
+
+def test_two_passes_find_what_a_poor_sample_missed(spark, monkeypatch):
+    rows = [(i, t, v) for i, (_, t, v) in enumerate(_rows())]
+    passes, counted = [], C._counted
+    monkeypatch.setattr(C, "_counted", lambda *a: passes.append(a[1] is not None) or counted(*a))
+    monkeypatch.setattr(C, "SAMPLE_PART", 10**9)
+    assert sorted(tuple(r) for r in C.collocations(spark.createDataFrame(rows, SCHEMA), 2000, 10).collect()) == _brute(rows, 10, 2000)
+    assert sum(passes) == 2
