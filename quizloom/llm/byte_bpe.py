@@ -90,7 +90,8 @@ class TextEncoder:
 
     def __init__(self, path: str, pattern: str):
         self.bpe = PrefixBpe(load_ranks(path))
-        self.vocabulary = self.bpe.bytes_of
+        self.vocabulary = np.full(max(self.bpe.bytes_of) + 1, None, object)
+        self.vocabulary[list(self.bpe.bytes_of)] = list(self.bpe.bytes_of.values())
         exact = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.split = regex.compile(exact).findall
         self.loose = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ").search
@@ -107,7 +108,7 @@ class TextEncoder:
         return self._whole(first) + b"".join(map(self.words.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(self.vocabulary[np.frombuffer(ids, "<u4")].tolist())
 
 
 def _encoder(path: str, pattern: str) -> TextEncoder:
