@@ -29,21 +29,25 @@ def shuffle_width(spark: SparkSession) -> int:
 def kept_in_worker(key: str, make, version: str = ""):
     """A value that lives as long as the Python worker, so that the next task finds it filled;
     another version takes its place. The first word of ``key`` names the operator: what others
-    have kept is freed."""
+    have kept is freed, and so is what earlier tasks left unused in the worker."""
     store = sys.__dict__.setdefault("_kept_in_worker", {})
     if any(k.split()[0] != key.split()[0] for k in store):
         drop_kept_in_worker()
         store = sys.__dict__.setdefault("_kept_in_worker", {})
     if key not in store or store[key][0] != version:
         store.pop(key, None)
+        _release_unused()
         store[key] = (version, make())
     return store[key][1]
 
 
 def drop_kept_in_worker() -> None:
     """Free what operators kept in this Python worker, and hand the memory back to the system."""
-    if not sys.__dict__.pop("_kept_in_worker", None):
-        return
+    if sys.__dict__.pop("_kept_in_worker", None):
+        _release_unused()
+
+
+def _release_unused() -> None:
     import ctypes
     import gc
 

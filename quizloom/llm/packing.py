@@ -27,6 +27,8 @@ CAPACITY = 2048
 #: Remainders up to this many ids are not cut further.
 SMALL = 64
 _JOINED = 64
+#: Words and bare words that a worker remembers: some 100 MB, beside what earlier stages left in the executor.
+_WORDS, _BARE = 300_000, 200_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,8 +54,8 @@ class WordTokenizer:
         self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
         self.odd = re.compile(r"[\x1c-\x1f]").search
         self.mapped = str.maketrans({chr(b): self._visible(b) for b in range(128, 256)})
-        self.words = Memo(self._word, 1_000_000)
-        self.bare = Memo(self._bare, 700_000)
+        self.words = Memo(self._word, _WORDS)
+        self.bare = Memo(self._bare, _BARE)
 
     @staticmethod
     def _visible(b: int) -> str:
