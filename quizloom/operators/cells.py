@@ -32,6 +32,8 @@ PART_ROWS = 1_000_000
 FILTER_WORDS = 4
 #: (query, cell) pairs whose bounds the driver holds at once.
 MOST_PAIRS = 1 << 24
+#: Rows that meet the centroids, and queries that meet a cell's rows, at once in a task.
+_PLACED_ROWS, _SCORED_QUERIES = 512, 64
 
 
 def _bit(value: Column) -> Column:
@@ -81,7 +83,9 @@ def build(corpus: DataFrame, filters: list[str], path: str | None = None) -> Cel
         if not len(vectors):
             return pd.DataFrame({"cell": pd.Series(dtype="int32"), "far": pd.Series(dtype="float64")})
         x, c = K.matrix(vectors), sent.value
-        near = (2 * x @ c.T - (c * c).sum(1)).argmax(1)
+        long = (c * c).sum(1)
+        # A few rows at a time: a whole batch against all centroids would be large.
+        near = np.concatenate([(2 * x[i : i + _PLACED_ROWS] @ c.T - long).argmax(1) for i in range(0, len(x), _PLACED_ROWS)])
         return pd.DataFrame({"cell": near.astype("int32"), "far": np.sqrt(((x - c[near]) ** 2).sum(1))})
 
     parts = max(1, n // PART_ROWS)
@@ -109,14 +113,44 @@ def _has(cells: pd.DataFrame, name: str, bit: int) -> np.ndarray:
     return (word >> np.uint64(bit % 64)) & np.uint64(1) == 1
 
 
-def _read(index: CellIndex, wanted: pd.DataFrame, k: int, block: list[str], conditions: dict, schema: str) -> DataFrame:
-    """Best ``k`` rows of each wanted (query, cell): only those cells' files are read."""
-    cells = sorted({int(c) for c in wanted["cell"]})
-    kept = V.metadata_filter(index.rows.where(F.col("cell").isin(cells)), **conditions)
-    sent = index.spark.sparkContext.broadcast(wanted)
+def _best_of_cells(
+    batches: Iterator[pd.DataFrame], asked: pd.DataFrame, vectors: np.ndarray, cells: np.ndarray, wanted: np.ndarray, k: int, block: list[str]
+) -> Iterator[pd.DataFrame]:
+    """Task: the ``k`` best rows of its batches for every query (``left_id``, ``right_id``, ``score``), from the cells wanted
+    for it. A query's vector and its best rows are held once, however many cells it reads."""
+    column = {int(c): i for i, c in enumerate(cells)}
+    qid = asked["query_id"].to_numpy()
+    alike = {v if isinstance(v, tuple) else (v,): at for v, at in asked.groupby(block, sort=False).indices.items()} if block else {}
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for pdf in batches:
+        cm, cid = K.matrix(pdf["vec"]), pdf["id"].to_numpy()
+        for value, mine in pdf.reset_index(drop=True).groupby(["cell", *block], sort=False).indices.items():
+            cell, *same = value if isinstance(value, tuple) else (value,)
+            of = wanted[:, column[int(cell)]]
+            at = np.nonzero(of)[0] if not block else (lambda n: n[of[n]])(alike.get(tuple(same), np.empty(0, int)))
+            for start in range(0, len(at), _SCORED_QUERIES):
+                some = at[start : start + _SCORED_QUERIES]
+                scores = np.round(vectors[some] @ cm[mine].T, 6)
+                for row, n in enumerate(some):
+                    old = best.get(n)
+                    sc = scores[row] if old is None else np.concatenate([old[0], scores[row]])
+                    ids = cid[mine] if old is None else np.concatenate([old[1], cid[mine]])
+                    keep = K.best_rows(sc, ids, k)
+                    best[n] = (sc[keep], ids[keep])
+    for n, (sc, ids) in best.items():
+        yield pd.DataFrame({"left_id": [qid[n]] * len(sc), "right_id": ids, "score": sc})
+
+
+def _read(index: CellIndex, asked: pd.DataFrame, wanted: np.ndarray, k: int, block: list[str], conditions: dict, schema: str) -> DataFrame:
+    """Best ``k`` rows of each query in the cells ``wanted`` (query, cell) for it: only those cells' files are read."""
+    places = np.nonzero(wanted.any(0))[0]
+    cells = index.cells["cell"].to_numpy()[places]
+    kept = V.metadata_filter(index.rows.where(F.col("cell").isin([int(c) for c in cells])), **conditions)
+    names = asked[[*block, "query_id"]].reset_index(drop=True)
+    sent = index.spark.sparkContext.broadcast((names, K.matrix(asked["vec"]), cells, wanted[:, places]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from V.scan_best(batches, sent.value, k, [*block, "cell"])
+        yield from _best_of_cells(batches, *sent.value, k, block)
 
     return kept.select(*block, "cell", "id", "vec").mapInPandas(run, schema)
 
@@ -161,11 +195,7 @@ def search(index: CellIndex, queries: DataFrame, k: int, block: list[str] | None
     np.put_along_axis(first, order, before < k, axis=1)
     first &= open_pairs
 
-    def pairs(mask: np.ndarray) -> pd.DataFrame:
-        at, cell = np.nonzero(mask)
-        return asked.iloc[at].assign(cell=cells["cell"].to_numpy()[cell]).reset_index(drop=True)
-
-    found = first_n(_read(index, pairs(first), k, block, conditions, schema), ["left_id"], [F.desc("score"), F.asc("right_id")], k, "rank").toPandas()
+    found = first_n(_read(index, asked, first, k, block, conditions, schema), ["left_id"], [F.desc("score"), F.asc("right_id")], k, "rank").toPandas()
     full = found[found["rank"] == k].groupby("left_id")["score"].max()
     least = asked["query_id"].map(full).fillna(-np.inf).to_numpy(float)
     rest = open_pairs & ~first & (bound >= least[:, None])
@@ -173,6 +203,6 @@ def search(index: CellIndex, queries: DataFrame, k: int, block: list[str] | None
         seen.update(cells=len(cells), cells_read=int((first | rest).any(0).sum()), pairs=bound.size, pairs_read=int((first | rest).sum()))
     partial = spark.createDataFrame(found[["left_id", "right_id", "score"]], schema) if len(found) else none.toDF("left_id", "right_id", "score", "rank").drop("rank")
     if rest.any():
-        partial = partial.unionByName(_read(index, pairs(rest), k, block, conditions, schema))
+        partial = partial.unionByName(_read(index, asked, rest, k, block, conditions, schema))
     ranked = first_n(partial, ["left_id"], [F.desc("score"), F.asc("right_id")], k, "rank")
     return ranked.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), "score", "rank")
