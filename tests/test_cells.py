@@ -80,6 +80,19 @@ def test_more_queries_than_are_sent(spark, table, monkeypatch):
     assert _answer(C.search(index, queries, 3)) == want
 
 
+def test_a_query_travels_once(spark, table, monkeypatch):
+    """However many cells a query reads, its vector is sent to the tasks once, not once for each cell."""
+    _, corpus, index = table
+    queries = corpus.where("id >= 2000 AND id < 2040 AND vec IS NOT NULL").select(F.col("id").alias("query_id"), "vec")
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+    seen = {}
+    assert C.search(index, queries, 200, seen=seen).count() == 40 * 200
+    assert seen["pairs_read"] > 40
+    rows = [len(value[0]) if isinstance(value, tuple) else len(value) for value in sent]
+    assert rows and max(rows) <= 40
+
+
 def test_empty(spark):
     none = C.build(spark.createDataFrame([], ROWS), ["topic"])
     queries = spark.createDataFrame([(1, [1.0])], "query_id bigint, vec array<double>")
