@@ -1,7 +1,9 @@
 """Exact set-similarity counts inside groups, without emitting all pairs.
 
 Equal sets are folded into one weighted representative first, so copies cost
-nothing however many there are. For Jaccard the representatives meet through a
+nothing however many there are. For Jaccard the representatives of a group that fits a
+task (an exam set, say) are counted there as arrays, so a set travels once and its elements never
+become rows. Those of a larger group meet through a
 prefix index (size, prefix and position filters of the published all-pairs /
 PPJoin family): tokens are ranked rare-first inside their group, so a token that a
 third of a group shares is the last to be indexed.
@@ -9,12 +11,18 @@ third of a group shares is the last to be indexed.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 _EPS = 1e-9
+#: Distinct sets, and elements of them, that a task counts as arrays; a group beyond either takes the prefix index.
+GROUP_SETS, GROUP_ELEMENTS = 512, 1_000_000
+#: Cells of an incidence matrix held at once.
+_CELLS = 2**22
 
 
 def _hashes(elements: Column) -> Column:
@@ -44,10 +52,62 @@ def jaccard_pairs(df: DataFrame, group: list[str], row_id: str, elements: Column
     Columns: group, ``left_rep``, ``right_rep``, ``left_copies``, ``right_copies``,
     ``shared``, ``joined`` (sizes of intersection and union).
     """
-    return _pairs_of(weighted_sets(df, group, row_id, elements), group, above)
+    return _pairs_of(cut_lineage(weighted_sets(df, group, row_id, elements)), group, above)
 
 
 def _pairs_of(sets: DataFrame, group: list[str], above: float) -> DataFrame:
+    """``sets`` is read several times: a checkpoint."""
+    sets = sets.dropna(subset=[*group, "rep"])
+    sizes = sets.groupBy(*group).agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
+    # Each holds more than GROUP_SETS rows or GROUP_ELEMENTS elements, so they are few and may be sent to all tasks.
+    large = F.broadcast(sizes.where((F.col("sets") > GROUP_SETS) | (F.col("elements") > GROUP_ELEMENTS)).select(*group))
+    small = _counted_pairs(sets.join(large, group, "left_anti"), group, above)
+    return small.unionByName(_indexed_pairs(sets.join(large, group, "left_semi"), group, above))
+
+
+def shared_elements(lengths: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets, which follow each other in ``elements``: incidence times its transpose."""
+    _, place, users = np.unique(elements, return_inverse=True, return_counts=True)
+    met = users > 1
+    keep = met[place]
+    row, column = np.repeat(np.arange(len(lengths)), lengths)[keep], (np.cumsum(met) - 1)[place[keep]]
+    total, width = int(met.sum()), max(1, _CELLS // max(1, len(lengths)))
+    shared = np.zeros((len(lengths), len(lengths)), np.int64)
+    for start in range(0, total, width):
+        here = (column >= start) & (column < start + width)
+        incidence = np.zeros((len(lengths), min(width, total - start)), np.float32)
+        incidence[row[here], column[here] - start] = 1
+        shared += (incidence @ incidence.T).astype(np.int64)
+    return shared
+
+
+def _counted_pairs(sets: DataFrame, group: list[str], above: float) -> DataFrame:
+    """The pairs of groups that fit a task."""
+    keys = ", ".join(f"`{g}` {sets.schema[g].dataType.simpleString()}" for g in group)
+    rep = sets.schema["rep"].dataType.simpleString()
+    schema = f"{keys}, left_rep {rep}, right_rep {rep}, left_copies long, right_copies long, shared int, joined int"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep").combine_chunks()
+        hs = table["hs"].chunk(0)
+        n, reps = table["n"].to_numpy().astype(np.int64), table["rep"].to_numpy()
+        shared = shared_elements(n, hs.flatten().to_numpy())
+        joined = n[:, None] + n[None, :] - shared
+        i, j = np.nonzero(np.triu(shared / joined > above, 1))
+        apart = reps[i] < reps[j]
+        i, j = i[apart], j[apart]
+        left, right = table.select([*group, "rep", "copies"]).take(pa.array(i)), table.take(pa.array(j))
+        columns = [left[g] for g in group] + [left["rep"], right["rep"], left["copies"], right["copies"]]
+        columns += [pa.array(x[i, j], pa.int32()) for x in (shared, joined)]
+        return pa.Table.from_arrays(columns, [*group, "left_rep", "right_rep", "left_copies", "right_copies", "shared", "joined"])
+
+    # The work is CPU, not bytes: a named number of parts is not merged by adaptive execution.
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select(*group, "rep", "copies", "n", "hs").repartition(parts, *group)
+    return rows.groupBy(*group).applyInArrow(run, schema)
+
+
+def _indexed_pairs(sets: DataFrame, group: list[str], above: float) -> DataFrame:
     tokens = sets.select(*group, "rep", "copies", "n", F.explode("hs").alias("h"))
     usage = tokens.groupBy(*group, "h").agg(F.count("*").alias("users")).where("users > 1")
     # Tokens of a single set cannot make a pair: they only take the first prefix places.
@@ -95,32 +155,10 @@ def _pairs_of(sets: DataFrame, group: list[str], above: float) -> DataFrame:
     )
 
 
-def _shared_counts(sets: DataFrame, group: list[str], above: float) -> DataFrame:
-    """The pairs of ``_pairs_of`` by counting shared elements, for groups of the size of one exam
-    set: no ranking, and one shuffle of elements. Both sides read the checkpointed sets."""
-    elements = sets.select(*group, "rep", "copies", "n", F.explode("hs").alias("h"))
-    a, b = elements.alias("a"), elements.alias("b")
-    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.rep") < F.col("b.rep"))
-    for g in group:
-        same = same & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    same = same & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * above - _EPS)
-    keys = [F.col(f"a.{g}").alias(g) for g in group]
-    sides = [F.col(f"{t}.{c}").alias(f"{side}_{c}") for t, side in (("a", "left"), ("b", "right")) for c in ("rep", "copies", "n")]
-    shared = a.join(b, same).groupBy(*keys, *sides).agg(F.count("*").alias("shared"))
-    joined = F.col("left_n") + F.col("right_n") - F.col("shared")
-    return shared.withColumn("joined", joined).where(F.col("shared") / F.col("joined") > above)
-
-
-def jaccard_pair_counts(
-    df: DataFrame, group: list[str], row_id: str, elements: Column, above: float, small_groups: bool = False
-) -> DataFrame:
-    """Number of row pairs per group with Jaccard above the limit, copies included.
-
-    ``small_groups`` is the caller's word that a group is about as large as one exam set: then
-    shared elements are counted plainly. Else the prefix index is used; the result is the same.
-    """
+def jaccard_pair_counts(df: DataFrame, group: list[str], row_id: str, elements: Column, above: float) -> DataFrame:
+    """Number of row pairs per group with Jaccard above the limit, copies included."""
     sets = cut_lineage(weighted_sets(df, group, row_id, elements))
-    found = _shared_counts(sets, group, above) if small_groups else _pairs_of(sets, group, above)
+    found = _pairs_of(sets, group, above)
     across = found.select(*group, (F.col("left_copies") * F.col("right_copies")).alias("pairs"))
     own = sets.select(*group, (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("pairs"))
     return across.unionByName(own).groupBy(*group).agg(F.sum("pairs").alias("pairs"))

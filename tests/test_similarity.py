@@ -111,6 +111,37 @@ def test_jaccard_pairs_equal_brute_force(spark, parts):
     assert got == want
 
 
+@pytest.mark.parametrize("sets, elements", [(512, 10**6), (40, 10**6), (512, 300), (0, 0)])
+def test_jaccard_pairs_of_small_and_large_groups(spark, monkeypatch, sets, elements):
+    """A group that fits a task is counted there, a larger one takes the index; the pairs are the same."""
+    monkeypatch.setattr(S, "GROUP_SETS", sets)
+    monkeypatch.setattr(S, "GROUP_ELEMENTS", elements)
+    monkeypatch.setattr(S, "_CELLS", 500)
+    rnd = random.Random(8)
+    rows = [(i, i % 7 and 1, " ".join(rnd.sample([f"w{k}" for k in range(14)], rnd.randint(1, 9)))) for i in range(90)]
+    rows += [(200 + i, None, "one two three") for i in range(3)] + [(300, 0, ""), (301, 0, None)]
+    df = spark.createDataFrame(rows, "id bigint, g int, t string")
+    got = S.jaccard_pairs(df, ["g"], "id", X.word_set(F.col("t")), 0.55)
+    assert dict(got.dtypes)["shared"] == "int"
+    folded = {}
+    for i, g, t in rows:
+        if g is not None and t:
+            folded.setdefault((g, frozenset(t.split())), []).append(i)
+    want = set()
+    for (g, a), x in folded.items():
+        for (h, b), y in folded.items():
+            if g == h and min(x) < min(y) and len(a & b) / len(a | b) > 0.55:
+                want.add((g, min(x), min(y), len(x), len(y), len(a & b), len(a | b)))
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_shared_elements_of_sets_beyond_one_block_of_cells(monkeypatch):
+    monkeypatch.setattr(S, "_CELLS", 12)
+    sets = [{1, 2, 3}, {2, 3, 4, 9}, {7}, {1, 2, 3, 4, 5, 6, 9}]
+    got = S.shared_elements(np.array(list(map(len, sets))), np.array([x for s in sets for x in sorted(s)]))
+    assert (got - np.diag(np.diag(got))).tolist() == [[len(a & b) if a is not b else 0 for b in sets] for a in sets]
+
+
 def test_tag_overlap_counts_equal_brute_force(spark):
     rnd = random.Random(3)
     rows = [(i, i % 2, [f"t{rnd.randrange(5)}" for _ in range(rnd.randint(0, 4))]) for i in range(80)]
