@@ -35,7 +35,9 @@ def answer_leaks(bank: DataFrame, least_answer: int = 1) -> DataFrame:
 
     Answers shorter than ``least_answer`` characters take no part."""
     text = F.concat_ws(" ", F.col("question"), F.array_join("options", " "))
-    found = bank.select("exam_set", "id", F.explode(X.anchors(text)).alias("anchor"))
+    # The one-element explode keeps the text from being put together again for every pattern.
+    texts = bank.select("exam_set", "id", F.explode(F.array(text)).alias("text"))
+    found = texts.select("exam_set", "id", F.explode(X.anchors(F.col("text"))).alias("anchor"))
     # A fact with two sources leaks to everyone; one with a single source spares it.
     facts = (
         found.groupBy("exam_set", "anchor")

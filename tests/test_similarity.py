@@ -156,6 +156,24 @@ def test_tag_overlap_counts_equal_brute_force(spark):
     assert got == want
 
 
+def test_small_blocks_share_a_frame(spark):
+    """Many blocks of a few rows come in one batch, a block is cut by the end of a batch, and keys are texts."""
+    rnd = np.random.default_rng(4)
+    vecs = _unit(rnd, 120)
+    rows = [(i, f"b{i % 40}" if i < 60 else "big", v) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "id bigint, g string, vec array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = T.pairs_within(df, ["g"], "id", ["vec"], K.cosine_at_least(0.1), tile_rows=25)
+        got = sorted((r.g, r.left_id, r.right_id) for r in found.collect())
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = [(g, i, j) for i, g, v in rows for j, h, w in rows if i < j and g == h and np.dot(v, w) >= 0.1]
+    assert got == sorted(want) and len({g for g, *_ in got}) > 2
+
+
 def test_tiles_find_every_pair_once(spark):
     vecs = _unit(np.random.default_rng(1), 90)
     rows = [(i, i % 2, v) for i, v in enumerate(vecs)]
