@@ -72,3 +72,16 @@ def test_registered_chain_equals_loop(spark, sf_dir, monkeypatch):
     uuid = {r.id: r.question_uuid for r in bank.select("id", "question_uuid").collect()}
     got = sorted((r.question_uuid, r.validator_failed, r.reason) for r in queries["stage_rejections_with_fuzzy_tier"](spark, sf_dir).collect())
     assert got == sorted((uuid[i], *v.split(":", 1)) for i, v in want.items() if v)
+
+
+def test_rules_are_worked_out_once(spark, sf_dir):
+    """The plan that is left reads the judged rows: no text is searched again, and only named columns are carried."""
+    bank = _small_bank(spark, sf_dir)
+    none = spark.createDataFrame([], "id long")
+    chain = QP.after_verdict(bank, P.classified(spark, sf_dir), none, False, ["id"])
+    assert chain.columns == ["id", "failed_stage", "attempts"]
+    plan = chain._jdf.queryExecution().optimizedPlan().toString()
+    assert "out_of_scope" not in plan and "no_end_mark" not in plan
+    whole = QP.after_verdict(bank, P.classified(spark, sf_dir), none, False)
+    assert whole.columns == [*bank.columns, "failed_stage", "attempts"]
+    assert sorted(map(tuple, whole.select(chain.columns).collect()), key=str) == sorted(map(tuple, chain.collect()), key=str)
