@@ -16,6 +16,7 @@ import hashlib
 import unicodedata
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -271,7 +272,7 @@ class Segments:
             self.trim()
         plain = self.plain
         cut = [t.split(" ") if t else [] for t in texts]
-        new = sorted({x for c in cut for x in c if x not in plain})
+        new = sorted(set(chain.from_iterable(cut)).difference(plain))
         plain.update((x, -1) for x in new)
         self._learn(list(filter(_plain, new)), plain)
         out = [list(map(plain.__getitem__, c)) for c in cut]
@@ -305,7 +306,12 @@ def block(known: Segments, ids: list, texts: list[str | None]) -> Block:
         if not whole:
             placed[n] = []
     many = np.array(list(map(len, placed)), np.int64)
-    used, segment = np.unique(np.fromiter((s for p in placed for s in p), np.int64, int(many.sum())), return_inverse=True)
+    every = np.fromiter(chain.from_iterable(placed), np.int64, int(many.sum()))
+    # Places are small numbers: those that occur are marked and numbered, not sorted.
+    occurs = np.zeros(len(spelled), bool)
+    occurs[every] = True
+    used = np.flatnonzero(occurs)
+    segment = (np.cumsum(occurs) - 1)[every]
     # Documents by segments: how often each has it.
     cell, times = np.unique(np.repeat(np.arange(len(placed)), many) * max(1, len(used)) + segment, return_counts=True)
     doc, at = np.divmod(cell, max(1, len(used)))
