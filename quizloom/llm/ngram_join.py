@@ -3,11 +3,13 @@
 Documents are sets of distinct word shingles; two link when their Jaccard similarity reaches a
 limit. The result is exact.
 
-1. *Routing.* The hash space of a set is cut into more segments than two linked sets can differ
-   in, so one segment that is not empty is equal in both; its hash is a routing key. A common
-   passage makes no hot key, because a key covers a whole segment. Equal keys are met inside each
-   task first; only one row a key and task is shuffled.
-2. *Families.* Connected components of documents that share a key hold every possible link.
+1. *Routing.* Shingles have one order: a fixed share of the hash space first, there the rarest first. Two
+   linked sets have so many shingles in common that they share one of their first few, their routing keys.
+   Shingles of that share travel as six bytes each and are counted where equal ones meet; those of one document
+   alone link nothing, and most documents have no others among their first.
+2. *Families.* Connected components of documents that share a key hold every possible link. In a family beyond a
+   tree's size, the hash space of a set is cut into more segments than two linked sets can differ in, so one segment
+   that is not empty is equal in both; documents of the family that share a segment are a family of their own.
 3. *Signature trees.* Each family is a tree: leaves are documents, inner nodes hold the OR of the
    token bitmaps below, the range of set sizes, and the fewest bits a link must share. A dual
    traversal drops pairs of nodes that cannot reach the overlap; what reaches the leaves is
@@ -29,10 +31,12 @@ from .common import components, drop_kept_in_worker, saved, shuffle_width
 
 #: Documents and shingles of one tree.
 TREE_DOCS, TREE_SHINGLES = 8192, 4_000_000
-#: Member lists up to this size are sent to the scan that fetches their texts; larger ones are joined.
+#: Lists of ids up to this size are sent to the scan that reads their texts; larger ones are joined.
 SENT_MEMBERS = 250_000
 
 _FLUSH_KEYS = 2_000_000
+#: Documents of a block: their places fill two bytes.
+_BLOCK_DOCS = 60_000
 _BLOCK = 1 << 20
 _GROWTH = 1.3
 _NO_CLASS = 255
@@ -139,6 +143,191 @@ def _in_class(keys: np.ndarray, k: int) -> np.ndarray:
 
 
 _SCHEMA = "bucket int, doc_id long, n int, d1 long, d2 long, keys binary, nodes binary"
+_RARE_SCHEMA = "bucket long, block long, doc_id long, n int, d1 long, d2 long, a binary, b binary, c binary"
+
+
+def _digests(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    a = _mix(np.add.reduce(_mix(s + _one(11)))[None])
+    return a[0], _mix(np.bitwise_xor.reduce(_mix(s ^ _one(13)))[None] + _U(len(s)))[0]
+
+
+def _first_shingles(n: int, percent: int) -> int:
+    """So many first shingles, in any common order, of two linked sets have one in common."""
+    return n + percent * n // -100 + 1
+
+
+def _counted_range(percent: int) -> int:
+    """Upper 32 bits below this: the share of the shingles that are counted. It is more than twice that of the first ones."""
+    return min(1 << 32, (1 << 32) * (2 * (100 - percent) + 5) // 100)
+
+
+def _rare(words: int, percent: int, buckets: int):
+    """Tasks one after the other: shingles by bucket; those of more than one document back to their block of
+    documents; the keys of a block by bucket; links (d1, d2, n = -1) where documents share a key. Rows of documents pass."""
+    space, types = _counted_range(percent), [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 3
+    names = ["bucket", "block", "doc_id", "n", "d1", "d2", "a", "b", "c"]
+
+    def rows(bucket, **columns):
+        k = len(bucket)
+        cols = [pa.array(columns[c], t) if c in columns else pa.nulls(k, t) for c, t in zip(names[1:], types[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *cols], names=names)
+
+    def links(nodes, firsts):
+        a, b = np.unique(np.stack((nodes, firsts)), axis=1) if len(nodes) else (nodes, firsts)
+        return rows((_mix(a) % _U(buckets)).astype(np.int64), n=np.full(len(a), -1, np.int32), d1=a.view(np.int64), d2=b.view(np.int64))
+
+    def spans(sorted_values):
+        cut = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+        return cut, list(zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_values)]))
+
+    def stars(keys, nodes):
+        """Equal keys once, with their first node, and the links of the others with it."""
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        head = np.ones(len(keys), bool)
+        head[1:] = keys[1:] != keys[:-1]
+        first = nodes[head][np.cumsum(head) - 1]
+        return keys[head], nodes[head], nodes[nodes != first], first[nodes != first]
+
+    def block_rows(block, sets):
+        """Tokens of the counted share by bucket, and what the block needs to choose its keys."""
+        size = np.array([len(s) for s in sets])
+        token = _mix(np.concatenate(sets) ^ _one(17))
+        at = np.repeat(np.arange(len(sets)), size)
+        upper = token >> _U(32)
+        one = upper < _U(space)
+        counted = np.bincount(at[one], minlength=len(sets))
+        first = np.array([_first_shingles(n, percent) for n in size.tolist()])
+        # What a document lacks in the counted share are the smallest of its other tokens.
+        lacks = (first > counted)[at] & ~one
+        more, more_at = token[lacks], at[lacks]
+        order = np.lexsort((more, more_at))
+        more, more_at = more[order], more_at[order]
+        keep = np.arange(len(more)) - np.searchsorted(more_at, more_at) < (first - counted)[more_at]
+        d1 = np.array([_digests(s)[0] for s in sets], _U)
+        extra = np.stack((more[keep], d1[more_at[keep]]))
+        table = np.stack((first, counted)).astype(np.int32)
+        yield rows([-1 - block], block=[block], a=[d1.tobytes()], b=[table.tobytes()], c=[extra.tobytes()])
+        token, at = token[one], at[one].astype(np.uint16)
+        if len(token):
+            bucket = ((token >> _U(32)) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, low, at = bucket[order], token[order].astype(np.uint32), at[order]
+            cut, ends = spans(bucket)
+            yield rows(bucket[cut], block=np.full(len(cut), block), a=[at[i:j].tobytes() for i, j in ends], b=[low[i:j].tobytes() for i, j in ends])
+
+    def tokens(batches):
+        from pyspark import TaskContext
+
+        drop_kept_in_worker()
+        # The same block has the same number if the task is run again.
+        block, sets, held = TaskContext.get().partitionId() << 32, {}, 0
+        for batch in batches:
+            ids, size, d1, d2 = batch.column(0), [], [], []
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(text, words)
+                a, b = _digests(s) if len(s) else (_U(0), _U(0))
+                size.append(len(s))
+                d1.append(int(a.view(np.int64)))
+                d2.append(int(b.view(np.int64)))
+                if len(s) and int(a) not in sets:  # copies of a block are one set
+                    sets[int(a)] = s
+                    held += len(s)
+                if held >= _FLUSH_KEYS or len(sets) >= _BLOCK_DOCS:
+                    yield from block_rows(block, list(sets.values()))
+                    block, sets, held = block + 1, {}, 0
+            spread = (np.array(d1, np.int64).view(_U) % _U(buckets)).astype(np.int64) if d1 else []
+            yield rows(spread, block=spread, doc_id=ids, n=size, d1=d1, d2=d2)
+        if sets:
+            yield from block_rows(block, list(sets.values()))
+
+    def groups(batches, key):
+        """Rows of documents and links pass as they are; the others are handed on by bucket or block, whose rows are neighbours."""
+        now, held = None, []
+        for batch in batches:
+            plain = batch.filter(batch.column("n").is_valid())
+            if plain.num_rows:
+                yield None, plain
+            full = batch.filter(batch.column("n").is_null())
+            for row in zip(*(full.column(c).to_pylist() for c in (key, "bucket", "block", "a", "b", "c"))):
+                if row[0] != now and held:
+                    yield now, held
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield now, held
+
+    def counts(batches):
+        for bucket, got in groups(batches, "bucket"):
+            if bucket is None:
+                yield got
+            elif bucket < 0:  # the table of a block
+                yield rows([bucket], block=[got[0][1]], a=[got[0][2]], b=[got[0][3]], c=[got[0][4]])
+            else:
+                low = np.frombuffer(b"".join(r[3] for r in got), np.uint32)
+                row = np.repeat(np.arange(len(got)), [len(r[2]) // 2 for r in got])
+                at = np.frombuffer(b"".join(r[2] for r in got), np.uint16)
+                _, number, times = np.unique(low, return_inverse=True, return_counts=True)
+                times = np.minimum(times[number], 65535).astype(np.uint16)
+                many = times > 1
+                low, row, at, times = low[many], row[many], at[many], times[many]
+                if len(row):
+                    cut, ends = spans(row)
+                    yield rows(
+                        np.full(len(cut), bucket), block=[got[r][1] for r in row[cut]],
+                        a=[at[i:j].tobytes() for i, j in ends], b=[low[i:j].tobytes() for i, j in ends], c=[times[i:j].tobytes() for i, j in ends],
+                    )
+
+    def keys(batches):
+        for block, got in groups(batches, "block"):
+            if block is None:
+                yield got
+                continue
+            head = next(r for r in got if r[0] < 0)
+            got = [r for r in got if r[0] >= 0]
+            d1, (first, counted) = np.frombuffer(head[2], _U), np.frombuffer(head[3], np.int32).reshape(2, -1).astype(np.int64)
+            more, more_node = np.frombuffer(head[4], _U).reshape(2, -1)
+            at, low, times = (np.frombuffer(b"".join(r[c] for r in got), t) for c, t in ((2, np.uint16), (3, np.uint32), (4, np.uint16)))
+            bucket = np.repeat(np.array([r[0] for r in got], _U), [len(r[2]) // 2 for r in got])
+            many = np.bincount(at, minlength=len(d1))
+            left = np.minimum(first, counted) - (counted - many)  # the others are in one document alone
+            some = left[at] > 0
+            at, times, token = at[some].astype(np.int64), times[some], (bucket[some] << _U(32)) | low[some]
+            order = np.lexsort((token, times, at))
+            at, token = at[order], token[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < left[at]
+            key = np.concatenate((_mix(token[keep] ^ _one(19)), _mix(more ^ _one(23))))
+            key, node, late, early = stars(key, np.concatenate((d1[at[keep]], more_node)))
+            if len(late):
+                yield links(late, early)
+            if len(key):
+                to = ((key >> _U(8)) % _U(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, key, node = to[order], key[order], node[order]
+                cut, ends = spans(to)
+                yield rows(to[cut], a=[key[i:j].tobytes() for i, j in ends], b=[node[i:j].tobytes() for i, j in ends])
+
+    def met(batches):
+        for bucket, got in groups(batches, "bucket"):
+            if bucket is None:
+                yield got
+            else:
+                _, _, late, early = stars(*(np.frombuffer(b"".join(r[c] for r in got), _U) for c in (2, 3)))
+                if len(late):
+                    yield links(late, early)
+
+    return tokens, counts, keys, met
+
+
+def _routed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id``, ``n``, ``d1``, ``d2`` of the documents, and the links of routing (``n`` is -1)."""
+    width = shuffle_width(docs.sparkSession)
+    tokens, counts, keys, met = _rare(words, percent, width * 8)
+    out = docs.mapInArrow(tokens, _RARE_SCHEMA)
+    for by, step in (("bucket", counts), ("block", keys), ("bucket", met)):
+        out = out.repartition(width, by).sortWithinPartitions(by).mapInArrow(step, _RARE_SCHEMA)
+    return saved(out.select("doc_id", "n", "d1", "d2"), "routed")
 
 
 def _route(words: int, percent: int, buckets: int):
@@ -201,13 +390,12 @@ def _route(words: int, percent: int, buckets: int):
                     d1.append(0)
                     d2.append(0)
                     continue
-                a = _mix(np.add.reduce(_mix(s + _one(11)))[None])
-                b = _mix(np.bitwise_xor.reduce(_mix(s ^ _one(13)))[None] + _U(len(s)))
-                d1.append(int(a.view(np.int64)[0]))
-                d2.append(int(b.view(np.int64)[0]))
+                a, b = _digests(s)
+                d1.append(int(a.view(np.int64)))
+                d2.append(int(b.view(np.int64)))
                 own = _keys(s, percent, firsts, segments)
                 keys.append(own)
-                nodes.append(np.full(len(own), a[0], _U))
+                nodes.append(np.full(len(own), a, _U))
                 held += len(own)
                 if held >= _FLUSH_KEYS:
                     yield from flush(keys, nodes)
@@ -428,29 +616,21 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     size and gets the component of its copies, if any; other columns of ``df`` are ignored. Copies
     are one node, so they are never expanded into pairs.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    width = shuffle_width(spark)
-    first, second = _route(words, percent, width * 8)
-    routed = docs.mapInArrow(first, _SCHEMA).repartition(width, "bucket").sortWithinPartitions("bucket")
-    routed = saved(routed.mapInArrow(second, _SCHEMA).select("doc_id", "n", "d1", "d2"), "routed")
+    routed = _routed(docs, words, percent)
     sized = routed.where("n >= 0")
     classes = saved(
         sized.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes"
     )
-    # A document is a node of each size class it is compared in, so families do not chain through sizes.
-    in_class = lambda d: F.xxhash64(d, "n")
-    keyed = routed.where("n < 0")
-    families = components(keyed.select(in_class("d1").alias("a"), in_class("d2").alias("b")))
-    nodes = keyed.select("d1", "n").unionByName(keyed.select(F.col("d2").alias("d1"), "n")).distinct()
-    nodes = nodes.select("d1", in_class("d1").alias("node"))
-    families = families.join(nodes, "node").select("d1", F.col("comp").alias("family"))
+    families = components(routed.where("n < 0").select(F.col("d1").alias("a"), F.col("d2").alias("b")))
+    families = families.select(F.col("node").alias("d1"), F.col("comp").alias("family"))
     members = saved(
         classes.where("rep is not null").join(families, "d1").select("family", F.col("rep").alias("doc_id"), "n").distinct(),
         "members",
     )
+    members = _by_segments(docs, members, words, percent)
     weights = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("size"))
-    parts = _parts(weights.where("docs > 1"))
+    parts = saved(_parts(weights.where("docs > 1")), "parts")
     placed = (
         members.join(parts, "family")
         .withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
@@ -473,6 +653,31 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     )
 
 
+def _by_segments(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """``members`` (family, doc_id, n) with families beyond a tree's size told apart by the segments their documents share."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("size"))
+    large = saved(_parts(sizes).where("parts > 1").select("family"), "large")
+    if not large.head(1):
+        return members
+    inside = saved(members.join(large, "family", "left_semi"), "large")
+    ids = inside.select("doc_id")
+    if inside.count() <= SENT_MEMBERS:
+        ids = F.broadcast(ids)
+    width = shuffle_width(docs.sparkSession)
+    first, second = _route(words, percent, width * 8)
+    routed = docs.join(ids, "doc_id", "left_semi").mapInArrow(first, _SCHEMA).repartition(width, "bucket").sortWithinPartitions("bucket")
+    routed = saved(routed.mapInArrow(second, _SCHEMA).select("doc_id", "n", "d1", "d2"), "routed")
+    # A document is a node of each size class it is compared in, so families do not chain through sizes.
+    in_class = lambda d: F.xxhash64(d, "n")
+    keyed = routed.where("n < 0")
+    found = components(keyed.select(in_class("d1").alias("a"), in_class("d2").alias("b")))
+    nodes = keyed.select("d1", "n").unionByName(keyed.select(F.col("d2").alias("d1"), "n")).distinct()
+    found = nodes.select("d1", in_class("d1").alias("node")).join(found, "node").select("d1", "comp")
+    finer = routed.where("n > 0").select("doc_id", "d1").join(found, "d1").select("doc_id", "comp").distinct()
+    finer = inside.join(finer, "doc_id").select(F.xxhash64("family", "comp").alias("family"), "doc_id", "n")
+    return saved(members.join(large, "family", "left_anti").unionByName(finer).distinct(), "members")
+
+
 def _across_parts(docs: DataFrame, big: DataFrame, merges: DataFrame, words: int, percent: int) -> DataFrame:
     """``merges`` with the links between the parts of large families."""
     found = saved(_relabel(big, merges), "placed")
@@ -510,5 +715,7 @@ def _across_parts(docs: DataFrame, big: DataFrame, merges: DataFrame, words: int
 def one_per_group(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose document is the first of its group (all rows without an id)."""
     groups = ngram_join(df, words=words, percent=percent)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = saved(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= SENT_MEMBERS:
+        gone = F.broadcast(gone)
     return df.join(gone, "doc_id", "left_anti")

@@ -83,6 +83,48 @@ def test_keys_of_links_meet():
             assert ka & kb
 
 
+def test_common_passages_make_no_families(spark, monkeypatch):
+    """Documents that share a passage, but not most of their words, are compared by no tree."""
+    r, merges, sizes = random.Random(7), N._merges, []
+    passage = " ".join(f"common{i}" for i in range(10))
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    texts = [f"{words(30)} {passage} {words(30)}" for _ in range(200)]
+    rows = list(enumerate([*texts, texts[50] + " one more", texts[60]]))
+
+    def counted(docs, members, *rest):
+        sizes.append(members.count())
+        return merges(docs, members, *rest)
+
+    monkeypatch.setattr(N, "_merges", counted)
+    monkeypatch.setattr(N, "TREE_DOCS", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {tuple(x) for x in N.ngram_join(df, words=5, percent=80).collect()}
+    assert got == _brute(rows, 5, 80) and sizes == [2]
+
+
+def test_first_shingles_of_links_meet():
+    """In any common order, two linked sets share one of their first shingles."""
+    r = random.Random(4)
+    for percent in (80, 90):
+        for _ in range(300):
+            n = r.choice([1, 2, 5, 9, 20, 33, 120])
+            a, order = {r.getrandbits(40) for _ in range(n)}, r.getrandbits(40)
+            b = set(a)
+            while 100 * len(a & (c := b | {r.getrandbits(40)} if r.random() < 0.5 else set(list(b)[1:]))) >= percent * len(a | c) and c:
+                b = c
+            one, two = (set(sorted(x, key=lambda v: v ^ order)[: N._first_shingles(len(x), percent)]) for x in (a, b))
+            assert one & two
+
+
+@pytest.mark.parametrize("flush,docs", [(40, 60_000), (2_000_000, 3)])
+def test_blocks_of_every_size(spark, monkeypatch, flush, docs):
+    monkeypatch.setattr(N, "_FLUSH_KEYS", flush)
+    monkeypatch.setattr(N, "_BLOCK_DOCS", docs)
+    rows = _corpus(9, 150, [1, 3, 8, 30, 60])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(x) for x in N.ngram_join(df, words=5, percent=80).collect()} == _brute(rows, 5, 80)
+
+
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.ngram_join(empty).count() == 0
